@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from parley.llm.nearest_in_time import nearest_in_time
+from parley.llm.packing import pack
+from parley.llm.tokens import decode_corpus, encode_corpus, token_counts
 from parley.operators.calls import call_times, evidence_times
 from parley.plans.sql_text import ORACLE_CALLS, oracle_evidence
 from parley.sources.tables import table
@@ -19,7 +21,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_in_time(calls, evidence, left_id="transcript_id", right_id="evidence_id", entity="ticker", at="at", tolerance=DAY)
 
 
-QUERIES = {"p1_found": p1_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids: every document by byte_bpe_50k."""
+    return encode_corpus(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
+def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: the ids decoded again; equals the stored text, with null as empty."""
+    return decode_corpus(p8_ids(spark, sf_dir), key="doc_id")
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece_no, start, n, container_id: the documents in containers of 2,048 tokens of byte_bpe_50k."""
+    sizes = token_counts(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+    return pack(sizes, key="doc_id", size="n_tokens", capacity=2048)
+
+
+QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers}
 
 ORACLES = {
     "p1_found": f"""
@@ -27,4 +45,5 @@ WITH {ORACLE_CALLS}, {oracle_evidence()}
 SELECT transcript_id, evidence_id FROM (
   SELECT c.transcript_id, e.evidence_id, row_number() OVER (PARTITION BY c.transcript_id ORDER BY abs(epoch_us(e.instant) - epoch_us(c.instant)), e.instant, e.evidence_id) AS rn
   FROM calls c JOIN ev e ON c.ticker = e.ticker AND e.instant BETWEEN c.instant - INTERVAL 86400 SECOND AND c.instant + INTERVAL 86400 SECOND) WHERE rn = 1""",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
