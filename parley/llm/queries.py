@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parley.llm.garbled import restore_encoding
 from parley.llm.nearest_in_time import nearest_in_time
 from parley.llm.packing import pack
 from parley.llm.tokens import decode_corpus, encode_corpus, token_counts
@@ -37,7 +38,12 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, key="doc_id", size="n_tokens", capacity=2048)
 
 
-QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, orig_chars: the documents read with a wrong encoding, and the length of their text restored."""
+    return restore_encoding(table(spark, sf_dir, "documents"), key="doc_id", text="text").select("doc_id", "orig_chars")
+
+
+QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
 
 ORACLES = {
     "p1_found": f"""
