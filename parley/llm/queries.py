@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parley.llm.garbled import restore_encoding
 from parley.llm.nearest_in_time import nearest_in_time
 from parley.llm.packing import pack
+from parley.llm.site_lines import repeated_lines, without_lines
 from parley.llm.tokens import decode_corpus, encode_corpus, token_counts
+from parley.functions.instants import plain_ticker
 from parley.operators.calls import call_times, evidence_times
-from parley.plans.sql_text import ORACLE_CALLS, oracle_evidence
+from parley.operators.latest import latest_per_key, or_prefix
+from parley.plans.sql_text import ORACLE_CALLS, oracle_evidence, oracle_ticker
 from parley.sources.tables import table
 
 DAY = 86_400_000_000
@@ -22,6 +26,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_in_time(calls, evidence, left_id="transcript_id", right_id="evidence_id", entity="ticker", at="at", tolerance=DAY)
 
 
+def _sited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments with the plain ticker of their transcript as site."""
+    valid = latest_per_key(table(spark, sf_dir, "transcripts").select("transcript_id", "created_at", "ticker"), "transcript_id", "created_at", ["ticker"])
+    segments = table(spark, sf_dir, "segments").select("segment_id", "transcript_id", "sequence", "text")
+    return segments.join(valid, "transcript_id", "left").withColumn("site", or_prefix(plain_ticker(F.col("ticker")), F.col("transcript_id"))).drop("ticker")
+
+
+def _furniture(sited: DataFrame) -> DataFrame:
+    return repeated_lines(sited, part="segment_id", doc="transcript_id", site="site", text="text", order="sequence", share=0.4, least=4)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """segment_id, line_no: the lines to be removed."""
+    return _furniture(_sited(spark, sf_dir)).select("segment_id", "line_no")
+
+
+def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """segment_id, text: every segment with the repeated lines removed."""
+    sited = _sited(spark, sf_dir)
+    return without_lines(sited.select("segment_id", "text").distinct(), _furniture(sited), part="segment_id", text="text").select("segment_id", "text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids: every document by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"), key="doc_id", text="text")
@@ -43,7 +69,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_encoding(table(spark, sf_dir, "documents"), key="doc_id", text="text").select("doc_id", "orig_chars")
 
 
-QUERIES = {"p1_found": p1_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
 
 ORACLES = {
     "p1_found": f"""
@@ -51,5 +77,15 @@ WITH {ORACLE_CALLS}, {oracle_evidence()}
 SELECT transcript_id, evidence_id FROM (
   SELECT c.transcript_id, e.evidence_id, row_number() OVER (PARTITION BY c.transcript_id ORDER BY abs(epoch_us(e.instant) - epoch_us(c.instant)), e.instant, e.evidence_id) AS rn
   FROM calls c JOIN ev e ON c.ticker = e.ticker AND e.instant BETWEEN c.instant - INTERVAL 86400 SECOND AND c.instant + INTERVAL 86400 SECOND) WHERE rn = 1""",
+    "p2_found": f"""
+WITH site AS (SELECT transcript_id, {oracle_ticker("ticker")} AS site FROM (
+    SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY created_at DESC NULLS LAST, ticker DESC NULLS LAST) AS rn FROM transcripts) WHERE rn = 1),
+s AS (SELECT DISTINCT segment_id, s.transcript_id, coalesce(site, upper(split_part(s.transcript_id, '_', 1))) AS site, text
+  FROM segments s LEFT JOIN site USING (transcript_id) WHERE segment_id IS NOT NULL AND s.transcript_id IS NOT NULL),
+n AS (SELECT site, count(DISTINCT transcript_id) AS docs FROM s GROUP BY site),
+l AS (SELECT segment_id, transcript_id, site, i - 1 AS line_no, lower(regexp_replace(parts[i], '[^\\p{{L}}]', '', 'g')) AS k
+  FROM (SELECT *, string_split(text, chr(10)) AS parts FROM s WHERE text IS NOT NULL), LATERAL (SELECT unnest(generate_series(1, len(parts))) AS i)),
+f AS (SELECT site, k FROM l WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT transcript_id) >= 4 AND count(DISTINCT transcript_id) >= 0.4 * (SELECT docs FROM n WHERE n.site = l.site))
+SELECT DISTINCT segment_id, CAST(line_no AS INTEGER) AS line_no FROM l JOIN f USING (site, k)""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
