@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.llm.consensus import consensus
 from parley.llm.garbled import restore_encoding
 from parley.llm.nearest_in_time import nearest_in_time
 from parley.llm.packing import pack
@@ -48,6 +49,27 @@ def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_lines(sited.select("segment_id", "text").distinct(), _furniture(sited), part="segment_id", text="text").select("segment_id", "text")
 
 
+def _evasiveness(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "annotations").where("evaluation_type = 'human'")
+    numbers = ["auto_evasiveness_score", "auto_hedging_score", "auto_hidden_risk_score"]
+    return consensus(rows, item="qa_id", annotator="annotator_id", label="label_evasive", written="labelled_at", numbers=numbers, text="answer_text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qa_id, label_evasive: one label of each pair."""
+    return _evasiveness(spark, sf_dir)[0].select("qa_id", F.col("label").alias("label_evasive"))
+
+
+def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qa_id, label, confidence, n_votes, agreement of each pair."""
+    return _evasiveness(spark, sf_dir)[0]
+
+
+def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """annotator, n_labels, reliability, informedness."""
+    return _evasiveness(spark, sf_dir)[1]
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids: every document by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"), key="doc_id", text="text")
@@ -69,7 +91,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_encoding(table(spark, sf_dir, "documents"), key="doc_id", text="text").select("doc_id", "orig_chars")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p5_found": p5_found, "p5_items": p5_items, "p5_annotators": p5_annotators, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
 
 ORACLES = {
     "p1_found": f"""
