@@ -9,6 +9,7 @@ from parley.llm.consensus import consensus
 from parley.llm.garbled import restore_encoding
 from parley.llm.nearest_in_time import nearest_in_time
 from parley.llm.packing import pack
+from parley.llm.pair_defects import pair_defects
 from parley.llm.site_lines import repeated_lines, without_lines
 from parley.llm.tokens import decode_corpus, encode_corpus, token_counts
 from parley.functions.instants import plain_ticker
@@ -70,6 +71,12 @@ def p5_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evasiveness(spark, sf_dir)[1]
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qa_id, defect: the pairs whose answer is defective; languages are learned from the documents."""
+    pairs, documents = table(spark, sf_dir, "qa_pairs"), table(spark, sf_dir, "documents")
+    return pair_defects(pairs, documents, key="qa_id", question="question_text", answer="answer_text", labelled_text="text", label="lang")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids: every document by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"), key="doc_id", text="text")
@@ -91,7 +98,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_encoding(table(spark, sf_dir, "documents"), key="doc_id", text="text").select("doc_id", "orig_chars")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p5_found": p5_found, "p5_items": p5_items, "p5_annotators": p5_annotators, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p5_found": p5_found, "p5_items": p5_items, "p5_annotators": p5_annotators, "p6_found": p6_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
 
 ORACLES = {
     "p1_found": f"""
