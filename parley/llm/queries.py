@@ -13,6 +13,7 @@ from parley.llm.pair_defects import pair_defects
 from parley.llm.site_lines import repeated_lines, without_lines
 from parley.llm.tokens import decode_corpus, encode_corpus, token_counts
 from parley.functions.instants import plain_ticker
+from parley.llm.turns import clean_turns
 from parley.operators.calls import call_times, evidence_times
 from parley.operators.latest import latest_per_key, or_prefix
 from parley.plans.sql_text import ORACLE_CALLS, oracle_evidence, oracle_ticker
@@ -77,6 +78,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects(pairs, documents, key="qa_id", question="question_text", answer="answer_text", labelled_text="text", label="lang")
 
 
+def p7_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_no, turn_no, speaker, text, n_words: the clean turns of every call."""
+    return clean_turns(table(spark, sf_dir, "sample_transcripts"), table(spark, sf_dir, "call_roster"), key="record_no", content="content", structured="structured_content")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_no, turn_no, speaker, n_words of every clean turn."""
+    return p7_turns(spark, sf_dir).drop("text")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, ids: every document by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"), key="doc_id", text="text")
@@ -98,7 +109,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_encoding(table(spark, sf_dir, "documents"), key="doc_id", text="text").select("doc_id", "orig_chars")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p5_found": p5_found, "p5_items": p5_items, "p5_annotators": p5_annotators, "p6_found": p6_found, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p5_found": p5_found, "p5_items": p5_items, "p5_annotators": p5_annotators, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
 
 ORACLES = {
     "p1_found": f"""
