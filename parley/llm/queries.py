@@ -10,6 +10,7 @@ from parley.llm.garbled import restore_encoding
 from parley.llm.nearest_in_time import nearest_in_time
 from parley.llm.packing import pack
 from parley.llm.pair_defects import pair_defects
+from parley.llm.sentences import sentence_units
 from parley.llm.site_lines import repeated_lines, without_lines
 from parley.llm.tokens import decode_corpus, encode_corpus, token_counts
 from parley.functions.instants import plain_ticker
@@ -51,6 +52,16 @@ def p2_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_lines(sited.select("segment_id", "text").distinct(), _furniture(sited), part="segment_id", text="text").select("segment_id", "text")
 
 
+def p3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """segment_id, start_char, end_char, unit: the sentence units of every segment."""
+    return sentence_units(table(spark, sf_dir, "segments"), key="segment_id", text="text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """segment_id, start_char, end_char of every sentence unit."""
+    return p3_units(spark, sf_dir).drop("unit")
+
+
 def _evasiveness(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "annotations").where("evaluation_type = 'human'")
     numbers = ["auto_evasiveness_score", "auto_hedging_score", "auto_hidden_risk_score"]
@@ -109,7 +120,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore_encoding(table(spark, sf_dir, "documents"), key="doc_id", text="text").select("doc_id", "orig_chars")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p5_found": p5_found, "p5_items": p5_items, "p5_annotators": p5_annotators, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_units": p3_units, "p5_found": p5_found, "p5_items": p5_items, "p5_annotators": p5_annotators, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
 
 ORACLES = {
     "p1_found": f"""
