@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 #: Calls at most that the model is trained on.
 TRAIN = 300
 EPOCHS = 4
-TAGS = ("SPEAKER", "TIME", "NOTE", "FILL", "TALK")
-SPEAKER, TIME, NOTE, FILL, TALK = range(5)
+#: Weight that a label the roster resolves starts with, and by how much learned tags must win.
+PRIOR, MARGIN = 6.0, 2.0
+#: Ties go to the first.
+TAGS = ("TALK", "SPEAKER", "TIME", "NOTE", "FILL")
+TALK, SPEAKER, TIME, NOTE, FILL = range(5)
 
 #: Words for noises, and sounds that are no words.
 NOISES = "applause|laugh\\w*|cough\\w*|music|crosstalk|cross-talk|inaudible|indiscernible|unintelligible|pause|silence|noise|background|phone|technical|cheer\\w*|sigh\\w*|clears|static|beep|no audio|audio|break in"
@@ -148,14 +151,16 @@ class Tagger:
     def __init__(self, weights: dict[str, list[float]], moves: list[list[float]]) -> None:
         self.weights, self.moves = weights, moves
 
-    def decode(self, feats: list[tuple[str, ...]]) -> list[int]:
-        """The best tags, by Viterbi."""
+    def decode(self, feats: list[tuple[str, ...]], gold: list[int] | None = None) -> list[int]:
+        """The best tags, by Viterbi; with `gold`, tags other than these are MARGIN ahead, to learn a margin."""
         if not feats:
             return []
         n, back, zero = len(TAGS), [], [0.0] * len(TAGS)
         score: list[float] = []
-        for f in feats:
+        for i, f in enumerate(feats):
             e = [sum(x) for x in zip(*[self.weights.get(name, zero) for name in f], strict=True)]
+            if gold is not None:
+                e = [x + MARGIN * (k != gold[i]) for k, x in enumerate(e)]
             if not score:
                 score = e
                 continue
@@ -209,10 +214,12 @@ def learn(calls: list[tuple[list[tuple[str | None, str]], list]]) -> Tagger:
     n = len(TAGS)
     w: dict[str, list[float]] = defaultdict(lambda: [0.0] * n)
     sums: dict[str, list[float]] = defaultdict(lambda: [0.0] * n)
+    # A prior: what the roster resolves is a label; training moves it where the calls say otherwise.
+    w["r=True"][SPEAKER] = PRIOR
     moves, move_sums, step = [[0.0] * n for _ in range(n)], [[0.0] * n for _ in range(n)], 1
     for _ in range(EPOCHS):
         for feats, gold in data:
-            got = Tagger(w, moves).decode(feats)
+            got = Tagger(w, moves).decode(feats, gold)
             if got != gold:
                 for i, (a, b) in enumerate(zip(gold, got, strict=True)):
                     if a != b:
@@ -244,9 +251,14 @@ def pieces_of(content: str | None, structured: list[dict] | None, roster: Roster
     for block in re.split(r"\n[ \t\r]*\n", content or ""):
         if block.strip():
             out.append(block)
-            # A block may hold further pieces: lines that begin with a label of the roster.
+            # A block may hold further pieces: lines that begin with a label, or a time mark if no bare label is before.
             lines = block.split("\n")
-            cut = [i for i in range(1, len(lines)) if label_end(_TOKEN.findall(lines[i]), roster)[2] == "name"]
+            cut = []
+            for i in range(1, len(lines)):
+                tokens, last = _TOKEN.findall(lines[i]), _TOKEN.findall(lines[i - 1])
+                bare = bool(last) and label_end(last, roster)[1] == len(last)
+                if label_end(tokens, roster)[2] != "none" or tokens and _MARK.match(tokens[0]) and not bare:
+                    cut.append(i)
             if cut and lines[0].strip():
                 out[-1:] = ["\n".join(lines[a:b]) for a, b in zip([0, *cut], [*cut, len(lines)], strict=True)]
     return out
