@@ -98,8 +98,10 @@ def attributes_at(events: DataFrame, statements: DataFrame, *, entity: str, at:
     intervals = validity(statements.select(entity, since, *order), entity, since, order)
     nodes = intervals.select("*", F.inline(dyadic_cover(F.col("since"), F.col("until"))))
     nodes = nodes.select(F.col(entity).alias("_e"), F.col("level").alias("_level"), F.col("node").alias("_node"), F.col("since").alias("_since"), F.col("until").alias("_until"), *[F.col(c).alias(f"_o_{c}") for c in order])
-    c = cell(F.col(at))
-    keyed = events.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("_level"), F.shiftright(c, k).alias("_node")) for k in range(TOP + 1)])))
+    # The event's own columns travel in one struct, so that their names can't clash with those of the join.
     keep = [x for x in events.columns if x not in order]
-    met = keyed.withColumnRenamed(entity, "_e").join(nodes, ["_e", "_level", "_node"]).where((F.col(at) >= F.col("_since")) & (F.col(at) < F.col("_until")))
-    return met.select(*[F.col("_e").alias(entity) if x == entity else F.col(x) for x in keep], *[F.col(f"_o_{c}").alias(c) for c in order])
+    some = events.where(F.col(entity).isNotNull() & F.col(at).isNotNull()).select(F.col(entity).alias("_e"), F.col(at).alias("_t"), F.struct(*[F.col(x) for x in keep]).alias("_row"))
+    c = cell(F.col("_t"))
+    keyed = some.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("_level"), F.shiftright(c, k).alias("_node")) for k in range(TOP + 1)])))
+    met = keyed.join(nodes, ["_e", "_level", "_node"]).where((F.col("_t") >= F.col("_since")) & (F.col("_t") < F.col("_until")))
+    return met.select(*[F.col("_row")[x].alias(x) for x in keep], *[F.col(f"_o_{c}").alias(c) for c in order])
