@@ -104,7 +104,6 @@ def verify(claims: DataFrame, links: DataFrame) -> DataFrame:
     call; (claim_id, evidence_id) is unique. Numbers of filings count most, then direction, then likeness of words.
     """
     pairs = links.join(claims.select("claim_id", "claim_text", "value", "direction"), "claim_id").withColumn("pair", F.concat_ws("|", "claim_id", "evidence_id"))
-    like = tfidf_cosine(pairs, key="pair", left="claim_text", right="evidence_text", bigrams=False)
     text = F.coalesce(F.col("evidence_text"), F.lit(""))
     numbers = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"([-+]?\d+[\.,]?\d*)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double")), lambda x: x.isNotNull())
     apart = F.array_min(F.transform(numbers, lambda x: F.abs(x - F.col("value")) / F.abs(F.col("value"))))
@@ -118,7 +117,11 @@ def verify(claims: DataFrame, links: DataFrame) -> DataFrame:
     )
     filing = F.col("source_type") == "sec"
     weight = F.when(filing, 1.0).when(F.col("authority_score") >= 0.70, 0.75).when(F.col("authority_score") >= 0.45, 0.50).otherwise(0.25)
-    s = pairs.join(like, "pair").withColumns({"near": near, "way": way, "w": weight, "filing": filing})
+    rated = pairs.withColumns({"near": near, "way": way, "w": weight, "filing": filing})
+    # Likeness of words decides only where a filing gives neither number nor direction, and for news.
+    open_ = rated.where(~F.col("filing") | (F.col("near").isNull() & F.col("way").isNull()))
+    like = tfidf_cosine(open_, key="pair", left="claim_text", right="evidence_text", bigrams=False)
+    s = rated.join(like, "pair", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     news = F.when(F.col("similarity") >= 0.20, F.when(F.col("way").isNotNull(), (F.col("similarity") + F.col("way")) / 2).otherwise(F.col("similarity")))
     s = s.withColumn("news", F.when(~F.col("filing"), news))
     support = (
