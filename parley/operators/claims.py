@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import lexicons as lx
 from parley.functions.text import first_of, word_count
-from parley.operators.risk import tfidf_cosine
+from parley.operators.risk import tokens_of
 
 
 def is_candidate(text: Column, section: Column) -> Column:
@@ -97,18 +97,44 @@ def within_days(left: DataFrame, right: DataFrame, *, entity: str, left_day: str
     return ls.join(rs, [entity, "_bucket"]).where(F.col(right_day).between(F.date_sub(left_day, before), F.date_add(left_day, after))).drop("_bucket")
 
 
+def term_weights(text: Column) -> Column:
+    """Map of the words of a short text, stop words left out, to 1 + ln(count)."""
+    words = F.filter(tokens_of(text, 2), lambda x: ~x.isin(*lx.STOP_WORDS))
+    weigh = lambda w: F.map_from_entries(F.transform(F.array_distinct(w), lambda t: F.struct(t, 1 + F.log(F.size(F.filter(w, lambda x: x == t)).cast("double")))))
+    return F.transform(F.array(words), weigh)[0]
+
+
+def likeness(left: Column, right: Column) -> Column:
+    """The cosine that tfidf_cosine gives for single words, from the term weights of the two texts.
+
+    A shared term weighs 1, another 1 + ln(3/2): so a text's norm follows from its sum of squares and the shared part.
+    """
+    square = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x * x)
+    idf = (1 + F.log(F.lit(1.5))) * (1 + F.log(F.lit(1.5)))
+    shared = F.transform(F.array_intersect(F.map_keys(left), F.map_keys(right)), lambda k: F.struct(F.element_at(left, k).alias("l"), F.element_at(right, k).alias("r")))
+    sums = F.aggregate(shared, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("l"), F.lit(0.0).alias("r")), lambda s, x: F.struct((s["d"] + x["l"] * x["r"]).alias("d"), (s["l"] + x["l"] * x["l"]).alias("l"), (s["r"] + x["r"] * x["r"]).alias("r")))
+    norm = lambda total, part: F.sqrt(idf * total + (1 - idf) * part)
+    return F.coalesce(F.transform(F.array(sums), lambda s: F.try_divide(s["d"], norm(square(left), s["l"]) * norm(square(right), s["r"])))[0], F.lit(0.0))
+
+
+def evidence_signs(evidence: DataFrame, *, text: str) -> DataFrame:
+    """`evidence` with numbers, pos, neg and terms of its text: what every claim is held against, worked out once."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    numbers = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"([-+]?\d+[\.,]?\d*)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double")), lambda x: x.isNotNull())
+    return evidence.withColumns({"numbers": numbers, "pos": F.lower(t).rlike(lx.POSITIVE), "neg": F.lower(t).rlike(lx.NEGATIVE_SIGNS), "terms": term_weights(t)})
+
+
 def verify(claims: DataFrame, links: DataFrame) -> DataFrame:
     """claim_id, status, confidence, n_evidence, support, contradiction of every claim against its evidence.
 
-    `links` has claim_id, evidence_id, source_type, authority_score and evidence_text of what was published after the
-    call; (claim_id, evidence_id) is unique. Numbers of filings count most, then direction, then likeness of words.
+    `links` has claim_id, evidence_id, source_type, authority_score and the columns of `evidence_signs` of what was
+    published after the call. Numbers of filings count most, then direction, then likeness of words.
     """
-    pairs = links.join(claims.select("claim_id", "claim_text", "value", "direction"), "claim_id").withColumn("pair", F.concat_ws("|", "claim_id", "evidence_id"))
-    text = F.coalesce(F.col("evidence_text"), F.lit(""))
-    numbers = F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"([-+]?\d+[\.,]?\d*)"), F.lit(1)), lambda x: F.regexp_replace(x, ",", "").try_cast("double")), lambda x: x.isNotNull())
+    told = claims.select("claim_id", "value", "direction", term_weights(F.col("claim_text")).alias("claim_terms"))
+    pairs = links.join(told, "claim_id")
+    numbers, pos, neg = F.col("numbers"), F.col("pos"), F.col("neg")
     apart = F.array_min(F.transform(numbers, lambda x: F.abs(x - F.col("value")) / F.abs(F.col("value"))))
     near = F.when(F.col("value").isNull() | (F.size(numbers) == 0), None).when((F.col("value") == 0) | (apart > 0.5), 0.0).when(apart <= 0.10, 1.0).when(apart <= 0.25, 0.5).otherwise(0.2)
-    pos, neg = F.lower(text).rlike(lx.POSITIVE), F.lower(text).rlike(lx.NEGATIVE_SIGNS)
     up, down = F.col("direction").isin("increase", "grow"), F.col("direction") == "decrease"
     way = (
         F.when(up, F.when(pos & ~neg, 1.0).when(neg & ~pos, 0.0).otherwise(0.5))
@@ -119,9 +145,8 @@ def verify(claims: DataFrame, links: DataFrame) -> DataFrame:
     weight = F.when(filing, 1.0).when(F.col("authority_score") >= 0.70, 0.75).when(F.col("authority_score") >= 0.45, 0.50).otherwise(0.25)
     rated = pairs.withColumns({"near": near, "way": way, "w": weight, "filing": filing})
     # Likeness of words decides only where a filing gives neither number nor direction, and for news.
-    open_ = rated.where(~F.col("filing") | (F.col("near").isNull() & F.col("way").isNull()))
-    like = tfidf_cosine(open_, key="pair", left="claim_text", right="evidence_text", bigrams=False)
-    s = rated.join(like, "pair", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    asked = ~F.col("filing") | (F.col("near").isNull() & F.col("way").isNull())
+    s = rated.withColumn("similarity", F.when(asked, likeness(F.col("claim_terms"), F.col("terms"))).otherwise(0.0)).select("claim_id", "near", "way", "w", "filing", "similarity")
     news = F.when(F.col("similarity") >= 0.20, F.when(F.col("way").isNotNull(), (F.col("similarity") + F.col("way")) / 2).otherwise(F.col("similarity")))
     s = s.withColumn("news", F.when(~F.col("filing"), news))
     support = (

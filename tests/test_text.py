@@ -60,6 +60,14 @@ def test_cosine_and_evasiveness(spark):
     assert e["d"].evasive_score == 0 and e["d"].topic_overlap == 0.5 and e["b"].evasive_score > e["c"].evasive_score > e["a"].evasive_score and e["e"].asks_number and e["e"].has_number
 
 
+def test_likeness_is_the_cosine(spark):
+    texts = ["margin growth growth in the year", "growth of margin", "weather", "", None, "the", "margin margin year"]
+    df = spark.createDataFrame([(f"{i}-{k}", a, b) for i, a in enumerate(texts) for k, b in enumerate(texts)], "k string, q string, a string")
+    want = {r.k: r.similarity for r in rk.tfidf_cosine(df, key="k", left="q", right="a", bigrams=False).collect()}
+    for r in df.select("k", cl.likeness(cl.term_weights(F.col("q")), cl.term_weights(F.col("a"))).alias("v")).collect():
+        assert abs(r.v - want[r.k]) < 1e-9, r.k
+
+
 def test_top_share(spark):
     df = spark.createDataFrame([("g", float(v)) for v in [10] * 10 + [90, 90, 50]] + [("h", None), ("i", 5.0)], "g string, v double")
     got = {r.g: r for r in rk.top_share_mean(df, group="g", value="v").collect()}
@@ -116,7 +124,7 @@ def test_claims(spark):
 def test_verdicts(spark):
     c = spark.createDataFrame([("a", "Revenue grew 10%", 10.0, "increase"), ("b", "Revenue grew 15%", 15.0, "increase"), ("c", "no evidence", None, None)], "claim_id string, claim_text string, value double, direction string")
     links = spark.createDataFrame([("a", "e1", "sec", 1.0, "Reported growth of 9.8 percent"), ("b", "e2", "sec", 1.0, "Revenue fell -4.2 percent"), ("b", "e3", "news", 0.1, None)], "claim_id string, evidence_id string, source_type string, authority_score double, evidence_text string")
-    assert {r.claim_id: r.status for r in cl.verify(c, links).collect()} == {"a": "SUPPORTED", "b": "CONTRADICTED", "c": "NOT_VERIFIABLE"}
+    assert {r.claim_id: r.status for r in cl.verify(c, cl.evidence_signs(links, text="evidence_text")).collect()} == {"a": "SUPPORTED", "b": "CONTRADICTED", "c": "NOT_VERIFIABLE"}
 
 
 def test_times_of_evidence_and_leaks(spark):
