@@ -42,10 +42,11 @@ ABBREVIATIONS = set(
     "i.e e.g cf viz al ca bzw usw z b d h u a mio mrd nr str hr fr env m mme mlle mm p ex av ave aprox sr sra srta dra ee núm pág руб млн млрд тыс т е г д ул inc corp co ltd etc".split()
 )
 _STOP_RUN = re.compile(f"[{re.escape(STOPS)}]+[{re.escape(CLOSE)}]*")
-_GLUED = re.compile(r"[a-zß-ÿ]{3}|\d[%x]?|[)%]$")
+_ORDINAL = re.compile(r"(?:^|\s)\d{1,2}\.$")
+_GLUED = re.compile(r"[A-Za-zß-ÿ]{2}[a-zß-ÿ]|\d[%x]?|[)%]$")
 _LATIN = re.compile(r"[^\W฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]+")
 _NARROW = re.compile(rf"[   ]+[!?»]+[{re.escape(STOPS + CLOSE)}]*")
-KINDS = ("all", "open", "all2", "open2", "close", "close2", "plain")
+KINDS = ("all", "open", "all2", "open2", "close", "close2", "plain", "goes on")
 
 
 def bucket(*parts: str) -> int:
@@ -100,6 +101,8 @@ def observe(line: str) -> Iterator[tuple[int, int]]:
         if i:
             yield 2, bucket(words[i - 1], w)
         yield 6, bucket(w.rstrip(".,;:!?"), "." if w.endswith(".") else "")
+        if w.endswith(".") and words[i + 1 : i + 2] and words[i + 1][:1].islower() and words[i + 1].islower():
+            yield 7, bucket(w)
     for m in UNSPACED.finditer(line):
         yield 0, bucket(line[m.start() : m.start() + 2])
 
@@ -133,6 +136,10 @@ class Counts:
             return float(self.t[5, bucket(*words)]) / n
         return float(self.t[4, bucket(words[0])]) / max(1.0, float(self.t[0, bucket(words[0])]))
 
+    def goes_on(self, words: list[str]) -> float:
+        """How often a word with a point is followed by a word in lower case."""
+        return float(self.t[7, bucket(words[0])]) / max(1.0, float(self.t[0, bucket(words[0])])) if words else 0.0
+
     def lowered(self, words: list[str]) -> str:
         """Whether a capitalised word is known in lower case: then its capital marks a beginning."""
         if not words or not words[0][:1].isupper():
@@ -146,8 +153,8 @@ class Counts:
         return with_point / max(1.0, with_point + without)
 
 
-def abbreviated(word: str, counts: Counts) -> str:
-    """What kind of word a point ends: listed, letter, inner (U.S.), number, always (never without it) or word."""
+def abbreviated(word: str, counts: Counts, ordinal: bool) -> str:
+    """What kind of word a point ends: listed, letter, inner (U.S.), number (that may be an ordinal), always or word."""
     stem = word.rstrip(".")
     low = stem.lower().lstrip("-–—")
     if len(low) == 1 and low.isalpha():
@@ -157,7 +164,7 @@ def abbreviated(word: str, counts: Counts) -> str:
     if "." in stem and not any(c.isdigit() for c in stem):
         return "inner"
     if stem and stem[-1].isdigit():
-        return "number" if stem == "0" else "word"
+        return "number" if ordinal else "word"
     known = counts.t[6, bucket(stem, ".")]
     if len(stem) <= 5 and known >= 5 and counts.pointed(word) > 0.97 and counts.closes([word]) < 0.02:
         return "always"
@@ -258,10 +265,11 @@ def describe(line: str, cands: list[tuple[int, str]], counts: Counts) -> list[di
         out.append(
             {
                 "kind": "run" if run.endswith("..") and not run.endswith("...") else "dots" if run.endswith(("...", "…")) else kind,
-                "prev": abbreviated(prev, counts) if kind == "." else "-",
+                "prev": abbreviated(prev, counts, bool(_ORDINAL.search(run))) if kind == "." else "-",
                 "closes": grade(counts.closes(words)),
                 "opens": grade(counts.opens(after)),
                 "case": counts.lowered(after),
+                "goes": grade(counts.goes_on(words)),
                 "next": next_kind(line, end),
                 "inside": goes_on,
                 "closed": str(closed),
@@ -295,7 +303,9 @@ def teacher(d: dict[str, str]) -> bool:
     if d["prev"] == "letter":
         return d["closes"] in "cd" and starter
     if d["prev"] in ("listed", "inner"):
-        return d["closes"] != "0" and (starter or d["next"] == "quote" or d["closes"] in "cd" and d["opens"] == "u" and d["next"] == "upper")
+        # A word that ends lines, and that nothing in lower case follows, ends units; else the next word must tell.
+        ends = d["closes"] in "cd" and d["goes"] == "0" and d["next"] in ("upper", "digit")
+        return ends or d["closes"] in "bcd" and (starter or d["next"] == "quote") or d["closes"] == "a" and d["case"] == "y"
     if d["prev"] == "number":
         return starter or d["next"] != "upper"
     return True
@@ -304,7 +314,7 @@ def teacher(d: dict[str, str]) -> bool:
 def features(d: dict[str, str]) -> tuple[str, ...]:
     one = [f"{k}={v}" for k, v in d.items()]
     two = [f"{a}{b}={d[a]}|{d[b]}" for a, b in (("prev", "opens"), ("prev", "closes"), ("next", "opens"), ("kind", "next"), ("inside", "next"), ("closed", "spaced"), ("kind", "inside"))]
-    three = [f"3={d['prev']}|{d['closes']}|{d['opens']}", f"4={d['prev']}|{d['next']}|{d['opens']}", f"5={d['closed']}|{d['spaced']}|{d['opens']}", f"6={d['kind']}|{d['opens']}|{d['next']}", f"7={d['prev']}|{d['closes']}|{d['case']}", f"8={d['kind']}|{d['prev']}|{d['case']}|{d['next']}", f"9={d['inside']}|{d['kind']}|{d['next']}"]
+    three = [f"3={d['prev']}|{d['closes']}|{d['opens']}", f"0={d['prev']}|{d['closes']}|{d['goes']}|{d['next']}", f"4={d['prev']}|{d['next']}|{d['opens']}", f"5={d['closed']}|{d['spaced']}|{d['opens']}", f"6={d['kind']}|{d['opens']}|{d['next']}", f"7={d['prev']}|{d['closes']}|{d['case']}", f"8={d['kind']}|{d['prev']}|{d['case']}|{d['next']}", f"9={d['inside']}|{d['kind']}|{d['next']}"]
     return (*one, *two, *three, "1")
 
 
