@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.sources.tables import width
+
 #: Calls at most that the model is trained on.
 TRAIN = 300
 EPOCHS = 4
@@ -313,8 +315,10 @@ def clean_turns(calls: DataFrame, roster: DataFrame, *, key: str, content: str,
     rows change nothing. A call without a word has no turn; the first piece of a call without any label has a null
     speaker, a label that the roster doesn't hold is kept as it is.
     """
-    one = calls.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(F.col(content).alias("c"), F.col(structured).alias("s"))).alias("m"))
-    who = roster.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_set(F.struct("speaker", "role", "title")).alias("people"))
+    # Both sides in the same partitions, by number: the join needs no further shuffle and the work is Python's.
+    n = width(calls.sparkSession)
+    one = calls.where(F.col(key).isNotNull()).repartition(n, key).groupBy(key).agg(F.max(F.struct(F.col(content).alias("c"), F.col(structured).alias("s"))).alias("m"))
+    who = roster.where(F.col(key).isNotNull()).repartition(n, key).groupBy(key).agg(F.collect_set(F.struct("speaker", "role", "title")).alias("people"))
     rows = one.join(who, key, "left").select(key, F.col("m.c").alias("c"), F.col("m.s").alias("s"), "people")
     some = [
         ([(x["speaker"], x["text"] or "") for x in r["s"]], [tuple(p) for p in r["people"] or []])
