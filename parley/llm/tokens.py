@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.sources.tables import cut
+from parley.sources.tables import cut, spread
 
 #: Folder of the public vocabulary files; a parameter of each operator.
 VOCABULARIES = "/opt/tokenizers"
@@ -62,7 +62,7 @@ def encode_corpus(docs: DataFrame, *, key: str, text: str, folder: str | None =
     """
     path = _file(folder, vocabulary)
     pieces = F.regexp_extract_all(F.col(text), F.lit("(?U)" + PATTERN), F.lit(0))
-    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.posexplode(pieces).alias("pos", "w"))
+    rows = spread(docs.select(key, text)).select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.posexplode(pieces).alias("pos", "w"))
     words = cut(rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).mapInArrow(_encode_words(path), "w string, n bigint, ids array<int>"))
     total = words.agg(F.sum("n")).first()[0] or 0
     heavy = F.col("n") > total * HEAVY  # at most 1 / HEAVY words
@@ -105,4 +105,4 @@ def token_counts(docs: DataFrame, *, key: str, text: str, folder: str | None = N
             n = [len(enc.encode_ordinary(x)) if x else 0 for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[key, "n_tokens"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint")
