@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.sources.tables import spread, width
+
 
 #: log2 of the buckets of the language model and of the end-of-text model.
 LANG_SIZE, END_SIZE = 16, 20
@@ -105,7 +107,7 @@ def _added(df: DataFrame, kinds: int, size: int) -> np.ndarray:
 def train_languages(texts: DataFrame, *, text: str, label: str) -> np.ndarray:
     """Log-probabilities of n-gram buckets by language, from all labelled texts. At most LANGUAGES * 2**16 numbers."""
     name = F.lower(F.regexp_extract(F.trim(F.col(label)), "^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), name.alias("l")).where("l <> ''")
+    rows = spread(texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), name.alias("l")).where("l <> ''"))
     names = [r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
     index = {n: i for i, n in enumerate(names)}
 
@@ -237,7 +239,9 @@ def pair_defects(pairs: DataFrame, labelled: DataFrame, *, key: str, question: s
     no rows.
     """
     language = train_languages(labelled, text=labelled_text, label=label)
-    ends = train_ends(pairs.select(key, answer).distinct(), answer)
+    n = width(pairs.sparkSession)
+    one = pairs.where(F.col(key).isNotNull()).select(key, question, answer).repartition(n, key).distinct()
+    ends = train_ends(one, answer)
     sent = pairs.sparkSession.sparkContext.broadcast((language, ends))
     kind = pairs.schema[key].dataType.simpleString()
 
@@ -263,4 +267,4 @@ def pair_defects(pairs: DataFrame, labelled: DataFrame, *, key: str, question: s
                 out.append(d)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.string())], names=[key, "defect"])
 
-    return pairs.where(F.col(key).isNotNull()).select(key, question, answer).distinct().mapInArrow(run, f"`{key}` {kind}, defect string").distinct()
+    return one.mapInArrow(run, f"`{key}` {kind}, defect string").distinct()
