@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parley.sources.tables import width
+
 #: log2 of the buckets of each table of counts.
 SIZE = 19
 #: Texts at most that the weights are learned from.
@@ -394,7 +396,8 @@ def sentence_units(texts: DataFrame, *, key: str, text: str) -> DataFrame:
     Null and blank texts have no unit, null keys are left out, repeated rows come out once. Every non-space character
     is in exactly one unit of its text.
     """
-    rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).distinct()
+    # Partitions by number: as many tasks as there are cores, since the bytes are few and the work is Python's.
+    rows = texts.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, text).repartition(width(texts.sparkSession), key, text).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = np.zeros((len(KINDS), 1 << SIZE), dtype=np.int64)
