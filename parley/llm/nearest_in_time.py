@@ -87,6 +87,6 @@ def _asof(held: list[pa.RecordBatch], tolerance: int) -> Iterator[pa.RecordBatch
     con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
     try:
         con.register("part", part)
-        yield from con.execute(ASOF.format(tolerance=int(tolerance))).to_arrow_table().cast(pa.schema([("lid", pa.string()), ("rid", pa.string())])).to_batches()
+        yield from con.sql(ASOF.format(tolerance=int(tolerance))).to_arrow_table().cast(pa.schema([("lid", pa.string()), ("rid", pa.string())])).to_batches()
     finally:
         con.close()
