@@ -117,23 +117,34 @@ def latest_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_within(facts, events, entity="cust", event_day="event_day", day="day", value="price", lookback=120)
 
 
-def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qa_id and scores, label of the first annotator by id and the second: the frame that the statistics run on."""
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qa_id, a (annotator), label and scores of every valid human label: the latest of each pair and annotator."""
     a = table(spark, sf_dir, "annotations").where("evaluation_type = 'human' AND label_evasive BETWEEN 0 AND 2")
     key = F.lower(F.trim(F.translate("annotator_id", "-", "_")))
     one = a.withColumn("a", key).groupBy("qa_id", "a").agg(
         F.max(F.struct("labelled_at", "label_evasive")).alias("m"), F.max("auto_evasiveness_score").alias("evasive"), F.max("auto_hedging_score").alias("hedging"), F.max("auto_hidden_risk_score").alias("risk"), F.max("date").alias("date")
     )
-    n = Window.partitionBy("qa_id").orderBy("a")
-    two = one.withColumn("n", F.row_number().over(n)).where("n <= 2")
-    return two.groupBy("qa_id").agg(
-        F.max("evasive").alias("evasive"), F.max("hedging").alias("hedging"), F.max("risk").alias("risk"), F.max("date").alias("date"),
-        F.max(F.when(F.col("n") == 1, F.col("m.label_evasive"))).alias("first_label"), F.max(F.when(F.col("n") == 2, F.col("m.label_evasive"))).alias("second_label"),
-    )
+    return one.withColumn("label", F.col("m.label_evasive")).drop("m")
+
+
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qa_id, scores and date of each labelled pair."""
+    return _labelled(spark, sf_dir).groupBy("qa_id").agg(*[F.max(c).alias(c) for c in ("evasive", "hedging", "risk", "date")])
+
+
+def _agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """truth, guess, n of the labels of every two annotators of a pair, the one with the smaller id first.
+
+    Each label meets the counts of the labels before it, so a pair's work grows with its annotators, not their square.
+    """
+    before = Window.partitionBy("qa_id").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    met = [F.struct(F.lit(k).alias("truth"), F.coalesce(F.sum((F.col("label") == k).cast("bigint")).over(before), F.lit(0)).alias("n")) for k in range(3)]
+    counts = _labelled(spark, sf_dir).select(F.col("label").alias("guess"), F.array(*met).alias("met")).select("guess", F.inline("met"))
+    return counts.groupBy("truth", "guess").agg(F.sum("n").alias("n"))
 
 
 def label_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return confusion(_measures(spark, sf_dir).withColumn("guess", label_right(F.col("evasive"))), truth="first_label", guess="guess")
+    return confusion(_labelled(spark, sf_dir).withColumn("guess", label_right(F.col("evasive"))), truth="label", guess="guess")
 
 
 def label_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +158,7 @@ def label_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotator_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = cohens_kappa(confusion(_measures(spark, sf_dir), truth="first_label", guess="second_label"))
+    k = cohens_kappa(_agreement(spark, sf_dir))
     return k.select("n", _r("observed"), _r("expected"), _r("kappa"))
 
 
@@ -162,16 +173,16 @@ def synthetic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def macro_f1_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap_macro_f1(_measures(spark, sf_dir).withColumn("guess", label_right(F.col("evasive"))), truth="first_label", guess="guess")
+    return bootstrap_macro_f1(_labelled(spark, sf_dir).withColumn("guess", label_right(F.col("evasive"))), truth="label", guess="guess")
 
 
 def score_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = pearson(_measures(spark, sf_dir), ["evasive", "hedging", "risk"], ["first_label", "second_label"])
+    m = pearson(_labelled(spark, sf_dir), ["evasive", "hedging", "risk"], ["label"])
     return m.select("x", "y", "n", _r("r"))
 
 
 def score_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spearman(_measures(spark, sf_dir), "evasive", "first_label").select("n", _r("rho"))
+    return spearman(_labelled(spark, sf_dir), "evasive", "label").select("n", _r("rho"))
 
 
 def score_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,17 +190,17 @@ def score_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def score_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = least_squares(_measures(spark, sf_dir).withColumn("label", F.col("first_label").cast("double")), y="label", xs=["evasive"])
+    m = least_squares(_labelled(spark, sf_dir).withColumn("label", F.col("label").cast("double")), y="label", xs=["evasive"])
     return m.select("term", _r("estimate"), _r("r_squared"))
 
 
 def score_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = quartile_compare(_measures(spark, sf_dir).withColumn("label", F.col("first_label").cast("double")), by="evasive", value="label")
+    m = quartile_compare(_labelled(spark, sf_dir).withColumn("label", F.col("label").cast("double")), by="evasive", value="label")
     return m.select(*[_r(c) for c in m.columns])
 
 
 def score_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = group_compare(_measures(spark, sf_dir).withColumn("g", F.col("first_label") == 2), group="g", value="evasive")
+    m = group_compare(_labelled(spark, sf_dir).withColumn("g", F.col("label") == 2), group="g", value="evasive")
     return m.select(*[_r(c) for c in m.columns])
 
 

@@ -1,6 +1,7 @@
 """Series around events and statistics, against closed forms and numpy."""
 
 import datetime as dt
+import itertools
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import market as mk
 from parley.operators import statistics as sx
+from parley.plans import evidence_queries as eq
 
 
 def test_reaction(spark):
@@ -96,3 +98,31 @@ def test_distributions():
     assert sx.student_p(2.228, 10) == pytest.approx(0.05, abs=1e-4)
     assert sx.student_p(1.96, 1e6) == pytest.approx(0.05, abs=1e-4)
     assert sx.normal_p(1.959964) == pytest.approx(0.05, abs=1e-6)
+
+
+def test_every_annotator_counts(spark, tmp_path):
+    rng = random.Random(3)
+    score = {f"q{i:02d}": rng.uniform(0, 90) for i in range(40)}
+    labels = {(q, f"ann_{a:02d}"): rng.randrange(3) for q in score for a in rng.sample(range(1, 9), rng.randint(1, 6))}
+    day = dt.datetime(2024, 1, 1)
+    rows = [(q, "2020-01-01", score[q], score[q] % 7, score[q] % 11, "human", a, k, day) for (q, a), k in labels.items()]
+    q, a = next(iter(labels))
+    rows += [(q, "2020-01-01", score[q], 1.0, 2.0, "human", a.upper().replace("_", "-"), (labels[q, a] + 1) % 3, day - dt.timedelta(1)), (q, "2020-01-01", score[q], 1.0, 2.0, "synthetic", "ann_99", 0, day), (q, "2020-01-01", score[q], 1.0, 2.0, "human", "ann_98", 7, day)]
+    spark.createDataFrame(rows, "qa_id string, date string, auto_evasiveness_score double, auto_hedging_score double, auto_hidden_risk_score double, evaluation_type string, annotator_id string, label_evasive int, labelled_at timestamp").write.parquet(str(tmp_path / "annotations.parquet"))
+    d = str(tmp_path)
+    want = np.zeros((3, 3))
+    for (q, _), k in labels.items():
+        want[k, 0 if score[q] <= 20 else 1 if score[q] <= 50 else 2] += 1
+    assert {(r.truth, r.guess): r.n for r in eq.label_matrix(spark, d).collect()} == {(i, j): want[i, j] for i in range(3) for j in range(3)}
+    both = np.zeros((3, 3))
+    for q in score:
+        for x, y in itertools.combinations(sorted(a for p, a in labels if p == q), 2):
+            both[labels[q, x], labels[q, y]] += 1
+    n = both.sum()
+    po, pe = np.trace(both) / n, (both.sum(0) * both.sum(1)).sum() / n**2
+    k = eq.annotator_kappa(spark, d).first()
+    assert (k.n, k.kappa) == (n, pytest.approx((po - pe) / (1 - pe), abs=1e-6))
+    assert {r.y: r.n for r in eq.score_correlations(spark, d).collect()} == {"label": len(labels)} and eq.score_spearman(spark, d).first().n == len(labels)
+    g = eq.score_groups(spark, d).first()
+    assert g.n_high + g.n_low == len(labels) and eq.macro_f1_interval(spark, d).first().n == len(labels)
+    assert eq.score_descriptives(spark, d).first().n == len(score)
