@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.instants import plain_ticker
 from parley.operators.calls import call_times, evidence_times
-from parley.operators.claims import evidence_signs, extract_claims, leaks, normalized, temporal_category, verify, within_days
+from parley.operators.claims import evidence_signs, extract_claims, leaks, normalized, temporal_category, told, verify, within_days
 from parley.operators.latest import latest_per_key, or_prefix
 from parley.operators.market import abnormal, latest_within, reaction
 from parley.operators.risk import hedging
@@ -62,20 +62,19 @@ def leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str, claims: DataFrame) -> DataFrame:
-    """claim_id and evidence of after the call: filings of a year, and the three most relevant news items of 90 days."""
+    """`claims` (transcript_id left out) with their evidence of after the call: filings of a year and all news of 180 days."""
     e = _evidence(spark, sf_dir).select("evidence_id", "ticker", "published", "source_type", "filing_type", "relevance_score", "authority_score", F.concat_ws(" ", "title", "text").alias("said"))
     e = evidence_signs(e, text="said").drop("said")
-    calls = claims.select("transcript_id").distinct().join(days(spark, sf_dir), "transcript_id")
-    met = within_days(calls, e, entity="ticker", left_day="call_day", right_day="published", before=-1, after=365)
-    filings = met.where(F.col("filing_type").isin(*FORMS))
-    w = Window.partitionBy("transcript_id").orderBy(F.desc_nulls_last("relevance_score"), "evidence_id")
-    news = met.where((F.col("source_type") == "news") & (F.datediff("published", "call_day") <= 90)).withColumn("n", F.row_number().over(w)).where("n <= 3").drop("n")
-    return claims.select("claim_id", "transcript_id").join(filings.unionByName(news), "transcript_id").select("claim_id", "evidence_id", "source_type", "authority_score", "numbers", "pos", "neg", "terms")
+    met = within_days(claims.join(days(spark, sf_dir), "transcript_id"), e, entity="ticker", left_day="call_day", right_day="published", before=-1, after=365)
+    filings = F.coalesce(F.col("filing_type").isin(*FORMS), F.lit(False))
+    news = (F.col("source_type") == "news") & (F.datediff("published", "call_day") <= 180)
+    return met.where(filings | news).select(*[c for c in claims.columns if c != "transcript_id"], "evidence_id", "source_type", "authority_score", "numbers", "pos", "neg", "terms")
 
 
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = normalized(extract_claims(sentences(spark, sf_dir)), text="claim_text", default="claim_type")
-    v = verify(c, _links(spark, sf_dir, c))
+    # What is held against evidence goes along, so that pairs are rated and summed where they arise.
+    v = verify(c, _links(spark, sf_dir, told(c, "transcript_id")))
     return v.select("claim_id", "status", "n_evidence", _r("support", 4), _r("contradiction", 4), _r("confidence", 4))
 
 

@@ -160,3 +160,20 @@ def test_within_days_is_that_of_brute_force(spark):
     got = cl.within_days(spark.createDataFrame(a, "e string, l date"), spark.createDataFrame(b, "e string, r date"), entity="e", left_day="l", right_day="r", before=180, after=365)
     want = sorted((e, x, y) for e, x in a for f, y in b if e == f and x and -180 <= (y - x).days <= 365)
     assert sorted((r.e, r.l, r.r) for r in got.collect()) == want
+
+
+def test_news_of_the_window_meets_every_claim(spark, tmp_path):
+    import datetime as dt
+
+    from parley.plans import evidence_queries as eq
+
+    call = dt.date(2024, 1, 1)
+    spark.createDataFrame([("T_1", "T", str(call), dt.datetime(2024, 1, 2))], "transcript_id string, ticker string, date string, created_at timestamp").write.parquet(str(tmp_path / "transcripts.parquet"))
+    news = [(f"n{i}", "news", 10, None, 0.9) for i in range(4)] + [("late", "news", 91, None, 0.1), ("last", "news", 180, None, 0.1), ("over", "news", 181, None, 1.0), ("same", "news", 0, None, 1.0)]
+    rows = [(e, s, str(call + dt.timedelta(days=n)), f, r) for e, s, n, f, r in [*news, ("filed", "sec", 365, "10-K", 0.5), ("other", "sec", 10, "S-1", 0.5), ("both", "news", 20, "8-K", 0.0)]]
+    df = spark.createDataFrame(rows, "evidence_id string, source_type string, publication_date string, filing_type string, relevance_score double")
+    df = df.selectExpr("*", "'T' ticker", "source_type source_name", "'' source_url", "'Revenue grew' title", "'by 12%' text", "0.5D authority_score", "cast(null as map<string, string>) metadata", "timestamp'2024-02-01' retrieval_timestamp")
+    df.write.parquet(str(tmp_path / "retrieved_evidence.parquet"))
+    claims = spark.createDataFrame([("c1", "T_1"), ("c2", "T_1")], "claim_id string, transcript_id string")
+    got = sorted((r.claim_id, r.evidence_id) for r in eq._links(spark, str(tmp_path), claims).collect())
+    assert got == sorted((c, e) for c in ("c1", "c2") for e in ("n0", "n1", "n2", "n3", "late", "last", "filed", "both"))
