@@ -48,13 +48,19 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hedging(sentences(spark, sf_dir), "text")
 
 
+def _toned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored sentences with their negative share by word lists."""
+    rows = _scored(spark, sf_dir).select(F.struct("*").alias("row"), "text")
+    return lexicon_sentiment(rows, key="row", text="text").select("row.*", "negative")
+
+
 def tone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = local_shift(_scored(spark, sf_dir), group="transcript_id", order=["segment_order", "sentence_number", "sentence_id"], value="word_count")
+    t = local_shift(_toned(spark, sf_dir), group="transcript_id", order=["segment_order", "sentence_number", "sentence_id"], value="negative")
     return t.select("sentence_id", _r("rolling_mean"), _r("rolling_std"), F.col("previous").cast("double").alias("previous"), _r("shift_score", 3))
 
 
 def tone_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = section_shift(_scored(spark, sf_dir), group="transcript_id", section="section", value="hedge_density")
+    t = section_shift(_toned(spark, sf_dir), group="transcript_id", section="section", value="negative")
     return t.select("transcript_id", _r("prepared_mean"), _r("qa_mean"), _r("section_shift"))
 
 
@@ -89,7 +95,7 @@ def risk_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _risky(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Sentences with risk and shift_score, and pairs with evasive_score."""
-    s = local_shift(_scored(spark, sf_dir), group="transcript_id", order=["segment_order", "sentence_number", "sentence_id"], value="word_count")
+    s = local_shift(_toned(spark, sf_dir), group="transcript_id", order=["segment_order", "sentence_number", "sentence_id"], value="negative")
     m = match_questions(segments(spark, sf_dir))
     e = evasiveness(m, key="qa_id", question="question_text", answer="answer_text").select("qa_id", "evasive_score").join(m.select("qa_id", "transcript_id", "answer_segment_id", "sequence"), "qa_id")
     last = e.groupBy(F.col("answer_segment_id").alias("segment_id")).agg(F.max_by("evasive_score", "sequence").alias("evasive"))
@@ -105,7 +111,7 @@ def risk_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def risk_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of a call: overall, prepared, qa, band and the worst segment."""
     s, e = _risky(spark, sf_dir)
-    shifts = section_shift(s, group="transcript_id", section="section", value="hedge_density")
+    shifts = section_shift(s, group="transcript_id", section="section", value="negative")
     r = call_risk(s, pair_risk(e, s), shifts)
     return r.withColumn("band", risk_band(F.col("overall")))
 

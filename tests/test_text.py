@@ -177,3 +177,19 @@ def test_news_of_the_window_meets_every_claim(spark, tmp_path):
     claims = spark.createDataFrame([("c1", "T_1"), ("c2", "T_1")], "claim_id string, transcript_id string")
     got = sorted((r.claim_id, r.evidence_id) for r in eq._links(spark, str(tmp_path), claims).collect())
     assert got == sorted((c, e) for c in ("c1", "c2") for e in ("n0", "n1", "n2", "n3", "late", "last", "filed", "both"))
+
+
+def test_shifts_follow_the_tone_not_the_length(spark, tmp_path):
+    from parley.plans import text_queries as tq
+
+    texts = ["Sales were the same as last year."] * 4 + ["Margins declined on weak and adverse losses.", "Sales were the same as last year " * 9 + "."]
+    segments = [("g0", "T", 0, "A", "executive", "prepared_remarks", "x"), ("g1", "T", 1, "A", "executive", "q_and_a", "x")]
+    spark.createDataFrame(segments, "segment_id string, transcript_id string, sequence int, speaker string, speaker_role string, section string, text string").write.parquet(str(tmp_path / "segments.parquet"))
+    rows = [(f"s{i}", f"g{int(i >= 4)}", "T", i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "sentence_id string, segment_id string, transcript_id string, sentence_number int, text string").write.parquet(str(tmp_path / "sentences.parquet"))
+    d = str(tmp_path)
+    got = {r.sentence_id: r for r in tq.tone_windows(spark, d).collect()}
+    assert [got[f"s{i}"].shift_score for i in range(5)] == [0, 0, 0, 0, 100] and got["s5"].shift_score < 100
+    assert tq.tone_sections(spark, d).first().prepared_mean == 0 and tq.tone_sections(spark, d).first().section_shift > 0
+    risk = {r.sentence_id: r.risk for r in tq.risk_of_sentences(spark, d).collect()}
+    assert risk["s4"] - risk["s3"] > 20
