@@ -187,9 +187,12 @@ METRICS = [
 ]
 
 # Signals of direction in evidence.
-POSITIVE = r"\b(grew|growth|increase|increased|higher|improved|improved|strong|surge|beat)\b"
+POSITIVE = r"\b(grew|growth|increase|increased|higher|improved|strong|surge|beat)\b"
 NEGATIVE_SIGNS = r"\b(fell|declined|decreased|lower|missed|weak|below|disappoint|short|cut)\b"
 
+# Words of good tone in the stand-in for a model: those of POSITIVE.
+TONE_UP = ["grew", "growth", "increase", "increased", "higher", "improved", "strong", "surge", "beat"]
+
 # Words after which a full stop ends no sentence.
 ABBREVIATIONS = [
     "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "vs", "etc", "al", "e.g", "i.e", "cf", "fig", "no", "approx", "est", "inc", "corp", "co",

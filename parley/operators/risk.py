@@ -86,6 +86,8 @@ def tfidf_cosine(pairs: DataFrame, *, key: str, left: str, right: str, bigrams:
 
     A term in both weighs 1, in one only 1 + ln(3/2). Pairs without a common or any term have 0. Keys must be unique.
     """
+    # Pairs are put together once; terms are counted where their pair is, so only texts are shuffled.
+    pairs = pairs.repartition(key)
     sides = pairs.select(F.col(key).alias("k"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(left).alias("t")), F.struct(F.lit(1).alias("side"), F.col(right).alias("t")))).alias("s"))
     words = F.filter(tokens_of(F.col("s.t"), 2), lambda x: ~x.isin(*lx.STOP_WORDS))
     rows = sides.select("k", F.col("s.side").alias("side"), words.alias("w"))
@@ -101,20 +103,23 @@ def tfidf_cosine(pairs: DataFrame, *, key: str, left: str, right: str, bigrams:
     return pairs.select(F.col(key).alias("k")).join(sums, "k", "left").select(F.col("k").alias(key), F.coalesce(sim, F.lit(0.0)).alias("similarity"))
 
 
-def evasiveness(pairs: DataFrame, *, key: str, question: str, answer: str) -> DataFrame:
-    """`key` and the features and score of evasiveness of each pair; keys must be unique.
+def evasiveness(pairs: DataFrame, *, key: str, question: str, answer: str, density: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`key`, the columns `keep`, and the features and score of evasiveness of each pair; keys must be unique.
 
-    A null or empty question or answer gives score 0, topic overlap 0.5 and length ratio 1.
+    A null or empty question or answer gives score 0, topic overlap 0.5 and length ratio 1. `density` names a column
+    with the answer's hedge density, as where that of its first sentence counts; without it the whole answer is taken.
     """
+    pairs = pairs.repartition(key)
     q, a = F.coalesce(F.col(question), F.lit("")), F.coalesce(F.col(answer), F.lit(""))
     topic, keyword = overlap(q, a)
     words = word_count(a)
+    own = (bounded_count(a, lx.MODALS) + bounded_count(a, lx.QUALIFIERS) + phrase_count(a, lx.UNCERTAINTY)) / words
     base = pairs.select(
-        key, ((q == "") | (a == "")).alias("blank"), topic.alias("topic_overlap"), keyword.alias("keyword_overlap"),
+        key, *keep, ((q == "") | (a == "")).alias("blank"), topic.alias("topic_overlap"), keyword.alias("keyword_overlap"),
         pattern_count(a, lx.DIRECT).alias("direct_count"), pattern_count(a, lx.DEFLECTING).alias("deflecting_count"), pattern_count(a, lx.GENERIC).alias("generic_count"),
         words.alias("answer_words"), word_count(q).alias("question_words"),
         q.rlike("(?i)" + lx.ASKS_NUMBER).alias("asks_number"), a.rlike("(?i)" + lx.HAS_NUMBER).alias("has_number"),
-        ((bounded_count(a, lx.MODALS) + bounded_count(a, lx.QUALIFIERS) + phrase_count(a, lx.UNCERTAINTY)) / words).alias("hedge_density"),
+        (own if density is None else F.coalesce(F.col(density).cast("double"), F.lit(0.0))).alias("hedge_density"),
     )
     joined = base.join(tfidf_cosine(pairs, key=key, left=question, right=answer), key)
     cap = lambda x: F.least(x, F.lit(1.0))
@@ -125,16 +130,22 @@ def evasiveness(pairs: DataFrame, *, key: str, question: str, answer: str) -> Da
         + 15 * cap(F.col("deflecting_count") / 3) + 0.10 * F.least(F.col("hedge_density") * 200, F.lit(100.0)) + 0.05 * generic + 0.10 * number
     )
     return joined.select(
-        key, F.when(F.col("blank"), 0.0).otherwise(F.col("similarity")).alias("similarity"), F.when(F.col("blank"), 0.5).otherwise(F.col("topic_overlap")).alias("topic_overlap"),
+        key, *keep, F.when(F.col("blank"), 0.0).otherwise(F.col("similarity")).alias("similarity"), F.when(F.col("blank"), 0.5).otherwise(F.col("topic_overlap")).alias("topic_overlap"),
         F.when(F.col("blank"), 0.0).otherwise(F.col("keyword_overlap")).alias("keyword_overlap"), "direct_count", "deflecting_count", "generic_count",
         F.when(F.col("blank"), 1.0).otherwise(F.col("answer_words") / F.col("question_words")).alias("length_ratio"), "asks_number", "has_number",
         F.when(F.col("blank"), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(raw, F.lit(100.0)))).alias("evasive_score"),
     )
 
 
+def first_density(sentences: DataFrame) -> DataFrame:
+    """segment_id, first_density: the hedge density of each segment's first sentence."""
+    order = F.struct("sentence_number", "sentence_id")
+    return sentences.groupBy("segment_id").agg(F.min_by("hedge_density", order).alias("first_density"))
+
+
 def combined_risk(hedge: Column, evasive: Column, shift: Column) -> Column:
     """0.35, 0.40 and 0.25 of the three; where evasiveness is 0 the others share its weight."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(evasive == 0, (0.35 * hedge + 0.25 * shift) / 0.60).otherwise(0.35 * hedge + 0.40 * evasive + 0.25 * shift)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(evasive == 0, (WEIGHTS[0] * hedge + WEIGHTS[2] * shift) / (WEIGHTS[0] + WEIGHTS[2])).otherwise(WEIGHTS[0] * hedge + WEIGHTS[1] * evasive + WEIGHTS[2] * shift)))
 
 
 def top_share_mean(df: DataFrame, *, group: str, value: str, share: float = 0.10) -> DataFrame:
@@ -184,6 +195,40 @@ def call_risk(sentences: DataFrame, pairs: DataFrame, shifts: DataFrame) -> Data
     return j.select("transcript_id", F.col("n").cast("bigint").alias("n"), F.round(overall, 2).alias("overall"), F.round(F.coalesce("prepared", F.lit(0.0)), 2).alias("prepared"), F.round(qa, 2).alias("qa"), "worst_segment")
 
 
+# Weights of hedging, evasiveness and shift in a sentence's risk.
+WEIGHTS = (0.35, 0.40, 0.25)
+
+
+def contributing_factors(text: Column) -> Column:
+    """What a sentence's risk is made of: scores, weights, matched terms, counts and tone.
+
+    Needs the columns of hedging, shift_score, evasive, negative and label.
+    """
+    m = hedging_terms(text)
+    return F.struct(
+        F.col("hedging_score"), F.col("shift_score").alias("tone_shift_score"), F.col("evasive").alias("evasive_score"),
+        *[F.lit(w).alias(f"{n}_weight") for n, w in zip(("hedging", "evasive", "shift"), WEIGHTS, strict=True)],
+        m["modals"].alias("matched_modals"), m["qualifiers"].alias("matched_qualifiers"), m["uncertainty"].alias("matched_uncertainty_phrases"), m["deflection"].alias("matched_deflection_phrases"),
+        F.col("deflection_count"), F.col("uncertainty_count").alias("uncertainty_phrase_count"), F.col("label").alias("sentiment_label"), F.col("negative").alias("negative_prob"),
+    )
+
+
+def segment_risk(sentences: DataFrame) -> DataFrame:
+    """Per segment: risk (0.6 of the mean, 0.4 of the top tenth), both, means, the greatest risk and its sentence.
+
+    Needs segment_id, sentence_id, sentence_number, text, risk, hedging_score, shift_score, evasive and negative. Of
+    equally risky sentences the first counts; its text is cut to 200 characters for display.
+    """
+    top = top_share_mean(sentences, group="segment_id", value="risk").select("segment_id", F.col("mean"), "top_mean", "blend")
+    means = {"avg_hedging": ("hedging_score", 2), "avg_tone_shift": ("shift_score", 2), "avg_evasive": ("evasive", 2), "avg_negative_prob": ("negative", 4)}
+    worst = F.max_by(F.struct("sentence_id", F.substring("text", 1, 200).alias("t")), F.struct("risk", -F.col("sentence_number"))).alias("w")
+    by = sentences.groupBy("segment_id").agg(*[F.round(F.avg(c), n).alias(k) for k, (c, n) in means.items()], F.round(F.max("risk"), 2).alias("max_hidden_risk_in_segment"), F.count(F.lit(1)).alias("sentence_count"), worst)
+    return top.join(by, "segment_id").select(
+        "segment_id", F.round("blend", 2).alias("segment_risk_score"), F.round("mean", 2).alias("avg_hidden_risk"), F.round("top_mean", 2).alias("top_k_risk"), *means, "max_hidden_risk_in_segment", "sentence_count",
+        F.col("w.sentence_id").alias("top_risk_sentence_id"), F.col("w.t").alias("top_risk_sentence_text"),
+    )
+
+
 def risk_band(score: Column) -> Column:
     """critical from 70, high from 40, moderate from 20, else low; null for null."""
     return F.when(score >= 70, "critical").when(score >= 40, "high").when(score >= 20, "moderate").when(score.isNotNull(), "low")

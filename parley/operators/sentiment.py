@@ -39,8 +39,7 @@ def lexicon_sentiment(df: DataFrame, *, key: str, text: str) -> DataFrame:
     """The same columns from shares of words of both kinds: a stand-in, not the figures of any trained model."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z]+"), lambda w: w != "")
     n = F.greatest(F.size(words), F.lit(1))
-    good = ["grew", "growth", "increase", "increased", "higher", "improved", "strong", "surge", "beat"]
-    pos, neg = (F.size(F.filter(words, lambda w: w.isin(*x))) for x in (good, lx.NEGATIVE))
+    pos, neg = (F.size(F.filter(words, lambda w: w.isin(*x))) for x in (lx.TONE_UP, lx.NEGATIVE))
     p, q = F.least(pos / n * 5, F.lit(1.0)), F.least(neg / n * 5, F.lit(1.0))
     total = F.greatest(p + q, F.lit(1.0))
     shares = df.select(key, (p / total).alias("positive"), (q / total).alias("negative"))

@@ -9,19 +9,38 @@ from parley.operators.calls import call_times
 from parley.sources.tables import table
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "segments").where("segment_id is not null").distinct()
+SEGMENT_COLUMNS = ("segment_id", "transcript_id", "speaker", "speaker_role", "section", "text", "sequence")
+PAIR_COLUMNS = ("qa_id", "transcript_id", "question_text", "answer_text")
+SENTENCE_COLUMNS = ("sentence_id", "segment_id", "transcript_id", "sentence_number", "text")
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "qa_pairs").where("qa_id is not null").select("qa_id", "transcript_id", "question_text", "answer_text").distinct()
+def _rows(spark: SparkSession, sf_dir: str, name: str, columns: tuple[str, ...], key: str, by: str) -> DataFrame:
+    """Distinct rows of some columns. Columns are chosen before, so the scan reads no others, and rows are put together
+    by `by`, so a join on it needs no further shuffle; repeated rows are whole copies, which any choice leaves copies."""
+    return table(spark, sf_dir, name).where(F.col(key).isNotNull()).select(*columns).repartition(by).distinct()
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sentence_id, segment_id, transcript_id, sentence_number, text, and the segment's order, role and section."""
-    s = table(spark, sf_dir, "sentences").where("sentence_id is not null").distinct()
-    g = segments(spark, sf_dir).select("segment_id", F.col("sequence").alias("segment_order"), "speaker_role", "section")
-    return s.join(g, "segment_id")
+def segments(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The segments, or some of their columns, each once."""
+    return _rows(spark, sf_dir, "segments", columns or SEGMENT_COLUMNS, "segment_id", "segment_id" if not columns or "segment_id" in columns else columns[0])
+
+
+def pairs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return _rows(spark, sf_dir, "qa_pairs", columns or PAIR_COLUMNS, "qa_id", "qa_id")
+
+
+def sentences(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """sentence_id, segment_id, transcript_id, sentence_number, text, and the segment's order, role and section.
+
+    With `columns` just these, and of the tables just what they need.
+    """
+    want = columns or (*SENTENCE_COLUMNS, "segment_order", "speaker_role", "section")
+    own = [c for c in SENTENCE_COLUMNS if c in want or c in ("sentence_id", "segment_id")]
+    of_segment = {"segment_order": F.col("sequence").alias("segment_order"), "speaker_role": F.col("speaker_role"), "section": F.col("section")}
+    met = {"segment_order": "sequence"}
+    g = segments(spark, sf_dir, "segment_id", *[met.get(c, c) for c in of_segment if c in want])
+    s = _rows(spark, sf_dir, "sentences", tuple(own), "sentence_id", "segment_id")
+    return s.join(g.select("segment_id", *[c for n, c in of_segment.items() if n in want]), "segment_id").select(*want)
 
 
 def days(spark: SparkSession, sf_dir: str) -> DataFrame:

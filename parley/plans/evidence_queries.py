@@ -300,11 +300,10 @@ from parley.plans.text_queries import _HEDGE  # noqa: E402
 _FULL = "source_type, source_name, source_url, title, text, filing_type, relevance_score, authority_score, CAST(instant AS DATE) AS published"
 _EV = oracle_evidence("source_type, source_name, source_url, title, text, filing_type, relevance_score, authority_score")
 _M = """a AS (SELECT *, lower(trim(replace(annotator_id, '-', '_'))) AS who FROM annotations WHERE evaluation_type = 'human' AND label_evasive BETWEEN 0 AND 2),
-one AS (SELECT qa_id, who, arg_max(label_evasive, (labelled_at, label_evasive)) AS label, max(auto_evasiveness_score) AS e, max(auto_hedging_score) AS h, max(auto_hidden_risk_score) AS r, max(date) AS d FROM a GROUP BY qa_id, who),
-two AS (SELECT *, row_number() OVER (PARTITION BY qa_id ORDER BY who) AS n FROM one),
-m AS (SELECT qa_id, max(e) AS evasive, max(h) AS hedging, max(r) AS risk, max(d) AS date, max(label) FILTER (n = 1) AS first_label, max(label) FILTER (n = 2) AS second_label FROM two WHERE n <= 2 GROUP BY qa_id)"""
+one AS (SELECT qa_id, who, arg_max(label_evasive, (labelled_at, label_evasive)) AS label, max(auto_evasiveness_score) AS evasive, max(auto_hedging_score) AS hedging, max(auto_hidden_risk_score) AS risk, max(date) AS date FROM a GROUP BY qa_id, who),
+m AS (SELECT qa_id, max(evasive) AS evasive, max(hedging) AS hedging, max(risk) AS risk, max(date) AS date FROM one GROUP BY qa_id)"""
 _GRID = "grid AS (SELECT a.x AS truth, b.x AS guess FROM (VALUES (0), (1), (2)) a(x), (VALUES (0), (1), (2)) b(x))"
-_C = f"{_M}, {_GRID}, g AS (SELECT first_label AS truth, CASE WHEN evasive <= 20 THEN 0 WHEN evasive <= 50 THEN 1 WHEN evasive IS NOT NULL THEN 2 END AS guess FROM m), c AS (SELECT truth, guess, (SELECT count(*) FROM g WHERE g.truth = grid.truth AND g.guess = grid.guess) AS n FROM grid)"
+_C = f"{_M}, {_GRID}, g AS (SELECT label AS truth, CASE WHEN evasive <= 20 THEN 0 WHEN evasive <= 50 THEN 1 WHEN evasive IS NOT NULL THEN 2 END AS guess FROM one), c AS (SELECT truth, guess, (SELECT count(*) FROM g WHERE g.truth = grid.truth AND g.guess = grid.guess) AS n FROM grid)"
 _MEASURES = """p AS (SELECT k.x AS label, (SELECT sum(n) FROM c WHERE truth = k.x) AS support, (SELECT sum(n) FROM c WHERE guess = k.x) AS guessed, (SELECT sum(n) FROM c WHERE truth = k.x AND guess = k.x) AS hit FROM (VALUES (0), (1), (2)) k(x)),
 q AS (SELECT label, support, CASE WHEN guessed > 0 THEN hit::DOUBLE / guessed ELSE 0 END AS precision, CASE WHEN support > 0 THEN hit::DOUBLE / support ELSE 0 END AS recall FROM p),
 s AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM q)"""
@@ -346,22 +345,22 @@ SELECT cust, event_day, CASE WHEN day >= event_day - 120 THEN day END AS fact_da
     "label_measures": f"WITH {_C}, {_MEASURES} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM s",
     "label_overall": f"WITH {_C}, {_MEASURES} SELECT round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round((SELECT sum(n) FILTER (truth = guess)::DOUBLE / sum(n) FROM c), 6) AS accuracy FROM s",
     "annotator_kappa": f"""
-WITH {_M}, k AS (SELECT first_label AS a, second_label AS b FROM m WHERE first_label IS NOT NULL AND second_label IS NOT NULL), t AS (SELECT count(*) AS n, avg((a = b)::INTEGER::DOUBLE) AS po FROM k),
+WITH {_M}, k AS (SELECT x.label AS a, y.label AS b FROM one x JOIN one y ON x.qa_id = y.qa_id AND x.who < y.who), t AS (SELECT count(*) AS n, avg((a = b)::INTEGER::DOUBLE) AS po FROM k),
 pe AS (SELECT sum((SELECT count(*) FROM k WHERE a = x)::DOUBLE * (SELECT count(*) FROM k WHERE b = x) / ((SELECT n FROM t)::DOUBLE * (SELECT n FROM t))) AS pe FROM (VALUES (0), (1), (2)) v(x))
 SELECT n, round(po, 6) AS observed, round(pe, 6) AS expected, round((po - pe) / (1 - pe), 6) AS kappa FROM t, pe""",
     "label_splits": f"WITH {_M} SELECT CASE WHEN substr(date, 1, 10) <= '2018-12-31' THEN 'train' WHEN substr(date, 1, 10) <= '2021-12-31' THEN 'val' WHEN date IS NOT NULL THEN 'test' END AS split, CASE WHEN evasive < 20 THEN 0 WHEN evasive < 50 THEN 1 WHEN evasive IS NOT NULL THEN 2 END AS label, count(*) AS n FROM m GROUP BY ALL",
-    "score_correlations": f"WITH {_M} " + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) AS n, round(corr({x}, {y}), 6) AS r FROM m" for x in ("evasive", "hedging", "risk") for y in ("first_label", "second_label")),
-    "score_spearman": f"WITH {_M}, b AS (SELECT evasive, first_label FROM m WHERE evasive IS NOT NULL AND first_label IS NOT NULL), r AS (SELECT {_AVG_RANK.format(x='evasive')} AS a, {_AVG_RANK.format(x='first_label')} AS b FROM b) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r",
+    "score_correlations": f"WITH {_M} " + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL) AS n, round(corr({x}, {y}), 6) AS r FROM one" for x in ("evasive", "hedging", "risk") for y in ("label",)),
+    "score_spearman": f"WITH {_M}, b AS (SELECT evasive, label FROM one WHERE evasive IS NOT NULL), r AS (SELECT {_AVG_RANK.format(x='evasive')} AS a, {_AVG_RANK.format(x='label')} AS b FROM b) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r",
     "score_ranks": f"WITH {_M} SELECT qa_id, CAST({_AVG_RANK.format(x='evasive')} AS DOUBLE) AS rank FROM m WHERE evasive IS NOT NULL",
     "score_regression": f"""
-WITH {_M}, b AS (SELECT first_label::DOUBLE AS y, evasive AS x FROM m WHERE evasive IS NOT NULL AND first_label IS NOT NULL)
+WITH {_M}, b AS (SELECT label::DOUBLE AS y, evasive AS x FROM one WHERE evasive IS NOT NULL)
 SELECT 'intercept' AS term, round(regr_intercept(y, x), 6) AS estimate, round(regr_r2(y, x), 6) AS r_squared FROM b UNION ALL SELECT 'evasive', round(regr_slope(y, x), 6), round(regr_r2(y, x), 6) FROM b""",
     "score_descriptives": f"WITH {_M} " + " UNION ALL ".join(
         f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75 FROM m"
         for c in ("evasive", "hedging", "risk")
     ),
     "score_groups": f"""
-WITH {_M}, b AS (SELECT first_label = 2 AS g, evasive AS v FROM m WHERE first_label IS NOT NULL AND evasive IS NOT NULL), r AS (SELECT g, v, {_AVG_RANK.format(x='v')} AS r FROM b),
+WITH {_M}, b AS (SELECT label = 2 AS g, evasive AS v FROM one WHERE evasive IS NOT NULL), r AS (SELECT g, v, {_AVG_RANK.format(x='v')} AS r FROM b),
 s AS (SELECT count(*) FILTER (g) AS n_high, avg(v) FILTER (g) AS mean_high, median(v) FILTER (g) AS median_high, stddev_pop(v) FILTER (g) AS std_high, count(*) FILTER (NOT g) AS n_low, avg(v) FILTER (NOT g) AS mean_low, median(v) FILTER (NOT g) AS median_low,
   stddev_pop(v) FILTER (NOT g) AS std_low, count(*) AS n, sum(r) FILTER (g) - count(*) FILTER (g) * (count(*) FILTER (g) + 1) / 2.0::DOUBLE AS u FROM r), t AS (SELECT sum(c ^ 3 - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY v))
 SELECT round(n_high::DOUBLE, 6) AS n_high, round(mean_high, 6) AS mean_high, round(median_high, 6) AS median_high, round(std_high, 6) AS std_high, round(n_low::DOUBLE, 6) AS n_low, round(mean_low, 6) AS mean_low, round(median_low, 6) AS median_low, round(std_low, 6) AS std_low,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parley.functions import lexicons as lx
 from parley.functions.text import clean_text, lm_negative_score, non_ascii_ratio
 from parley.operators.claims import extract_claims, normalized
-from parley.operators.risk import call_risk, combined_risk, evasiveness, hedging, hedging_terms, local_shift, pair_risk, risk_band, section_shift, tfidf_cosine, top_share_mean
+from parley.operators.risk import call_risk, combined_risk, contributing_factors, evasiveness, first_density, hedging, hedging_terms, local_shift, pair_risk, risk_band, section_shift, segment_risk, tfidf_cosine, top_share_mean
 from parley.operators.segments import call_segments, ingest_status, match_questions, sentence_rows, with_sections
 from parley.operators.sentiment import lexicon_sentiment
 from parley.plans.base import PAIRS, SEGMENTS, SENTENCES, pairs, segments, sentences
@@ -22,26 +22,28 @@ def _r(c: str, n: int = 6) -> F.Column:
 
 
 def clean_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir)
+    s = segments(spark, sf_dir, "segment_id", "text")
     return s.select("segment_id", clean_text(F.col("text")).alias("clean"), F.round(non_ascii_ratio(F.col("text")).cast("double"), 6).alias("non_ascii"))
 
 
 def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_rows(segments(spark, sf_dir), key="segment_id", text="text")
+    return sentence_rows(segments(spark, sf_dir, "segment_id", "text"), key="segment_id", text="text")
 
 
 def sentence_hedging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = hedging(sentences(spark, sf_dir).select("sentence_id", "text"), "text")
+    h = hedging(sentences(spark, sf_dir, "sentence_id", "text"), "text")
     return h.select("sentence_id", "word_count", "modal_count", "qualifier_count", "uncertainty_count", "deflection_count", _r("hedge_density"), _r("uncertainty_score"), _r("hedging_score"))
 
 
 def hedging_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sentences(spark, sf_dir).select("sentence_id", hedging_terms(F.col("text")).alias("m"))
-    return s.select("sentence_id", "m.*").where("size(modals) + size(qualifiers) + size(uncertainty) + size(deflection) > 0")
+    """The matched terms of each sentence that has any, those of a kind joined by `|`."""
+    s = sentences(spark, sf_dir, "sentence_id", "text").select("sentence_id", hedging_terms(F.col("text")).alias("m"))
+    some = s.select("sentence_id", "m.*").where("size(modals) + size(qualifiers) + size(uncertainty) + size(deflection) > 0")
+    return some.select("sentence_id", *[F.array_join(c, "|").alias(c) for c in ("modals", "qualifiers", "uncertainty", "deflection")])
 
 
 def negative_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences(spark, sf_dir).groupBy("transcript_id").agg(F.round(F.avg(lm_negative_score(F.col("text"))), 6).alias("negative_score"))
+    return sentences(spark, sf_dir, "sentence_id", "transcript_id", "text").groupBy("transcript_id").agg(F.round(F.avg(lm_negative_score(F.col("text"))), 6).alias("negative_score"))
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,18 +51,24 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _toned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scored sentences with their negative share by word lists."""
+    """The scored sentences with their negative share and label by word lists."""
     rows = _scored(spark, sf_dir).select(F.struct("*").alias("row"), "text")
+    return lexicon_sentiment(rows, key="row", text="text").select("row.*", "negative", "label")
+
+
+def _tone(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the sentences with the negative share alone."""
+    rows = sentences(spark, sf_dir, *columns, "text").select(F.struct(*columns).alias("row"), "text")
     return lexicon_sentiment(rows, key="row", text="text").select("row.*", "negative")
 
 
 def tone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = local_shift(_toned(spark, sf_dir), group="transcript_id", order=["segment_order", "sentence_number", "sentence_id"], value="negative")
-    return t.select("sentence_id", _r("rolling_mean"), _r("rolling_std"), F.col("previous").cast("double").alias("previous"), _r("shift_score", 3))
+    t = local_shift(_tone(spark, sf_dir, "sentence_id", "transcript_id", "segment_order", "sentence_number"), group="transcript_id", order=["segment_order", "sentence_number", "sentence_id"], value="negative")
+    return t.select("sentence_id", _r("rolling_mean"), _r("rolling_std"), _r("previous"), _r("shift_score", 3))
 
 
 def tone_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = section_shift(_toned(spark, sf_dir), group="transcript_id", section="section", value="negative")
+    t = section_shift(_tone(spark, sf_dir, "sentence_id", "transcript_id", "section"), group="transcript_id", section="section", value="negative")
     return t.select("transcript_id", _r("prepared_mean"), _r("qa_mean"), _r("section_shift"))
 
 
@@ -94,15 +102,32 @@ def risk_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _risky(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Sentences with risk and shift_score, and pairs with evasive_score."""
+    """Sentences with risk and shift_score, and pairs with evasive_score.
+
+    A pair's answer counts with the hedge density of the first sentence of its first segment; its score goes to the
+    sentences of that segment, of several pairs the last.
+    """
     s = local_shift(_toned(spark, sf_dir), group="transcript_id", order=["segment_order", "sentence_number", "sentence_id"], value="negative")
-    m = match_questions(segments(spark, sf_dir))
-    e = evasiveness(m, key="qa_id", question="question_text", answer="answer_text").select("qa_id", "evasive_score").join(m.select("qa_id", "transcript_id", "answer_segment_id", "sequence"), "qa_id")
+    first = first_density(hedging(sentences(spark, sf_dir, "sentence_id", "segment_id", "sentence_number", "text"), "text"))
+    m = match_questions(segments(spark, sf_dir)).join(first.withColumnRenamed("segment_id", "answer_segment_id"), "answer_segment_id", "left")
+    e = evasiveness(m, key="qa_id", question="question_text", answer="answer_text", density="first_density", keep=("transcript_id", "answer_segment_id", "sequence"))
     last = e.groupBy(F.col("answer_segment_id").alias("segment_id")).agg(F.max_by("evasive_score", "sequence").alias("evasive"))
     j = s.join(last, "segment_id", "left").withColumn("evasive", F.coalesce("evasive", F.lit(0.0)))
     return j.withColumn("risk", combined_risk(F.col("hedging_score"), F.col("evasive"), F.col("shift_score"))), e
 
 
+def risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each sentence's risk is made of; matched terms of a kind are joined by `|`."""
+    f = _risky(spark, sf_dir)[0].select("sentence_id", F.round("risk", 2).alias("risk"), contributing_factors(F.col("text")).alias("f"))
+    joined = [F.array_join(f"f.{c}", "|").alias(c) for c in ("matched_modals", "matched_qualifiers", "matched_uncertainty_phrases", "matched_deflection_phrases")]
+    scores = [F.round(f"f.{c}", 3).alias(c) for c in ("hedging_score", "tone_shift_score", "evasive_score", "negative_prob")]
+    return f.select("sentence_id", "risk", *scores, "f.hedging_weight", "f.evasive_weight", "f.shift_weight", *joined, "f.deflection_count", "f.uncertainty_phrase_count", "f.sentiment_label")
+
+
+def segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_risk(_risky(spark, sf_dir)[0])
+
+
 def risk_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, e = _risky(spark, sf_dir)
     return pair_risk(e, s).select("qa_id", "pair_risk")
@@ -118,7 +143,7 @@ def risk_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tone of sentences by word lists, the stand-in for a model."""
-    t = lexicon_sentiment(sentences(spark, sf_dir).select("sentence_id", "text"), key="sentence_id", text="text")
+    t = lexicon_sentiment(sentences(spark, sf_dir, "sentence_id", "text"), key="sentence_id", text="text")
     return t.select("sentence_id", _r("positive"), _r("negative"), _r("neutral"), "label")
 
 
@@ -155,7 +180,7 @@ def raw_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "clean_segments": clean_segments, "split_segments": split_segments, "sentence_hedging": sentence_hedging, "hedging_matches": hedging_matches, "negative_words": negative_words,
     "tone_windows": tone_windows, "tone_sections": tone_sections, "pair_evasiveness": pair_evasiveness, "pair_similarity": pair_similarity, "question_answers": question_answers,
-    "risk_of_calls": risk_of_calls, "risk_of_segments": risk_of_segments, "risk_of_sentences": risk_of_sentences, "risk_of_pairs": risk_of_pairs, "risk_overall": risk_overall, "sentence_tone": sentence_tone, "claims": claims, "claim_values": claim_values,
+    "risk_of_calls": risk_of_calls, "risk_of_segments": risk_of_segments, "risk_of_sentences": risk_of_sentences, "risk_of_pairs": risk_of_pairs, "risk_overall": risk_overall, "risk_factors": risk_factors, "segment_summary": segment_summary, "sentence_tone": sentence_tone, "claims": claims, "claim_values": claim_values,
     "record_status": record_status, "raw_segments": raw_segments,
 }
 
@@ -242,6 +267,16 @@ def _ex(pattern: str, i: int) -> str:
     return f"regexp_extract(claim_text, {_q('(?i)' + pattern)}, {i})"
 
 
+#: Tone by the word lists, its windows and sections, each from its definition.
+_TONE = f"""t0 AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM {SENTENCES}),
+t1 AS (SELECT * EXCLUDE (w), greatest(len(w), 1) AS n, len(list_filter(w, lambda x: list_contains({_list(lx.TONE_UP)}, x))) AS p, len(list_filter(w, lambda x: list_contains({_list(lx.NEGATIVE)}, x))) AS q FROM t0),
+t2 AS (SELECT * EXCLUDE (n, p, q), least(p::DOUBLE / n * 5, 1) AS p, least(q::DOUBLE / n * 5, 1) AS q FROM t1), tone AS (SELECT * EXCLUDE (p, q), p / greatest(p + q, 1) AS positive, q / greatest(p + q, 1) AS negative FROM t2)"""
+_WINDOWS = """w0 AS (SELECT *, coalesce(avg(negative) OVER b, 0) AS rm, coalesce(stddev_pop(negative) OVER b, 0) AS rs, lag(negative, 1, 0) OVER o AS previous, row_number() OVER o AS rn FROM tone
+  WINDOW o AS (PARTITION BY transcript_id ORDER BY segment_order, sentence_number, sentence_id), b AS (PARTITION BY transcript_id ORDER BY segment_order, sentence_number, sentence_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+w AS (SELECT *, CASE WHEN rn = 1 THEN 0 ELSE least(abs(negative - rm) / (rs + 1e-6) / 3, 1) * 100 END AS shift_score FROM w0)"""
+_SECTIONS = """ss AS (SELECT *, abs(q - p) * 100 AS section_shift FROM (
+  SELECT transcript_id, coalesce(avg(negative) FILTER (section = 'prepared_remarks'), 0) AS p, coalesce(avg(negative) FILTER (section = 'q_and_a'), 0) AS q FROM tone GROUP BY transcript_id))"""
+
 ORACLES = {
     "split_segments": f"""
 WITH m AS (SELECT segment_id, string_split(regexp_replace(regexp_replace({_STRIP("text")}, '([.!?]+)(\\s+)([A-Z"])', '\\1' || chr(31) || '\\2\\3', 'g'),
@@ -252,19 +287,9 @@ SELECT segment_id, CAST(i - 1 AS INTEGER) AS sentence_number, p[i] AS sentence F
     "negative_words": f"""
 WITH t AS (SELECT transcript_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM {SENTENCES})
 SELECT transcript_id, round(avg(CASE WHEN len(w) = 0 THEN 0 ELSE least(100, len(list_filter(w, lambda x: list_contains({_list(lx.NEGATIVE)}, x)))::DOUBLE / len(w) * 500) END), 6) AS negative_score FROM t GROUP BY transcript_id""",
-    "sentence_tone": f"""
-WITH t AS (SELECT sentence_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM {SENTENCES}),
-c AS (SELECT sentence_id, greatest(len(w), 1) AS n, len(list_filter(w, lambda x: list_contains(['grew', 'growth', 'increase', 'increased', 'higher', 'improved', 'strong', 'surge', 'beat'], x))) AS p, len(list_filter(w, lambda x: list_contains({_list(lx.NEGATIVE)}, x))) AS q FROM t),
-d AS (SELECT sentence_id, least(p::DOUBLE / n * 5, 1) AS p, least(q::DOUBLE / n * 5, 1) AS q FROM c), e AS (SELECT sentence_id, p / greatest(p + q, 1) AS p, q / greatest(p + q, 1) AS q FROM d)
-SELECT sentence_id, round(p, 6) AS positive, round(q, 6) AS negative, round(1 - p - q, 6) AS neutral, CASE WHEN 1 - p - q >= greatest(p, q) THEN 'neutral' WHEN q >= p THEN 'negative' ELSE 'positive' END AS label FROM e""",
-    "tone_windows": f"""
-WITH {_HEDGE},
-w AS (SELECT *, coalesce(avg(word_count) OVER b, 0) AS rm, coalesce(stddev_pop(word_count) OVER b, 0) AS rs, lag(word_count, 1, 0) OVER o AS previous, row_number() OVER o AS rn FROM h
-  WINDOW o AS (PARTITION BY transcript_id ORDER BY segment_order, sentence_number, sentence_id), b AS (PARTITION BY transcript_id ORDER BY segment_order, sentence_number, sentence_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
-SELECT sentence_id, round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, previous::DOUBLE AS previous, round(CASE WHEN rn = 1 THEN 0 ELSE least(abs(word_count - rm) / (rs + 1e-6) / 3, 1) * 100 END, 3) AS shift_score FROM w""",
-    "tone_sections": f"""
-WITH {_HEDGE}, m AS (SELECT transcript_id, coalesce(avg(hedge_density) FILTER (section = 'prepared_remarks'), 0) AS p, coalesce(avg(hedge_density) FILTER (section = 'q_and_a'), 0) AS q FROM h GROUP BY transcript_id)
-SELECT transcript_id, round(p, 6) AS prepared_mean, round(q, 6) AS qa_mean, round(abs(q - p) * 100, 6) AS section_shift FROM m""",
+    "sentence_tone": f"WITH {_TONE} SELECT sentence_id, round(positive, 6) AS positive, round(negative, 6) AS negative, round(1 - positive - negative, 6) AS neutral, CASE WHEN 1 - positive - negative >= greatest(positive, negative) THEN 'neutral' WHEN negative >= positive THEN 'negative' ELSE 'positive' END AS label FROM tone",
+    "tone_windows": f"WITH {_TONE}, {_WINDOWS} SELECT sentence_id, round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, round(previous, 6) AS previous, round(shift_score, 3) AS shift_score FROM w",
+    "tone_sections": f"WITH {_TONE}, {_SECTIONS} SELECT transcript_id, round(p, 6) AS prepared_mean, round(q, 6) AS qa_mean, round(section_shift, 6) AS section_shift FROM ss",
     "pair_similarity": f"WITH {_terms(False)} SELECT qa_id, round(similarity, 6) AS similarity FROM sim",
     "pair_evasiveness": f"""
 WITH {_terms(True)},
