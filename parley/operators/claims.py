@@ -27,14 +27,15 @@ def extract_claims(sentences: DataFrame, *, most: int = 20) -> DataFrame:
     """claim_id, transcript_id, sentence_id, claim_text, claim_type, direction, has_number, confidence.
 
     Needs transcript_id, sentence_id, segment_order, sentence_number, speaker_role, section and text. Claims are
-    numbered in the order of the call; of a call the `most` most confident are kept, earlier ones first among equals.
+    numbered in the order of the call; of a call the `most` most confident are kept, earlier ones first among equals:
+    a top-k report of the pipeline, whose k is a parameter. Texts are whole; cut them for display only.
     """
     t = F.col("text")
     number = t.rlike("(?i)" + lx.CLAIM_NUMBER)
     way = direction(t)
     confidence = F.least(F.lit(1.0), 0.50 + F.when(number, 0.30).otherwise(0.0) + F.when(way.isNotNull(), 0.15).otherwise(0.0) + F.when(F.col("speaker_role") == "executive", 0.05).otherwise(0.0))
     found = sentences.where(is_candidate(t, F.col("section"))).select(
-        "transcript_id", "sentence_id", "segment_order", "sentence_number", F.substring("text", 1, 800).alias("claim_text"),
+        "transcript_id", "sentence_id", "segment_order", "sentence_number", F.col("text").alias("claim_text"),
         first_of(t, lx.CLAIM_TOPICS, F.lit("other")).alias("claim_type"), way.alias("direction"), number.alias("has_number"), F.round(confidence, 2).alias("confidence"),
     )
     order = Window.partitionBy("transcript_id").orderBy("segment_order", "sentence_number", "sentence_id")

@@ -157,7 +157,8 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _claims(spark, sf_dir)
+    """The 20 most confident claims of each call; the text is cut to 800 characters for display, after all was read."""
+    return _claims(spark, sf_dir).withColumn("claim_text", F.substring("claim_text", 1, 800))
 
 
 def claim_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,8 +241,8 @@ sim AS (SELECT p.qa_id, coalesce(s.sim, 0) AS similarity FROM {pairs} p LEFT JOI
 _BIGRAMS = "UNION ALL SELECT qa_id, side, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w"
 
 
-def _terms(bigrams: bool) -> str:
-    return _TERMS.format(stop=_list(lx.STOP_WORDS), pairs=PAIRS, bigrams=_BIGRAMS if bigrams else "")
+def _terms(bigrams: bool, pairs: str = PAIRS) -> str:
+    return _TERMS.format(stop=_list(lx.STOP_WORDS), pairs=pairs, bigrams=_BIGRAMS if bigrams else "")
 
 
 _Q, _A = "coalesce(question_text, '')", "coalesce(answer_text, '')"
@@ -250,7 +251,7 @@ c1 AS (SELECT *, CASE WHEN list_contains({_list(lx.UP)}, dw) THEN 'increase' WHE
   FROM c0 WHERE claim_type <> 'other' AND {_words("text")} >= 4 AND NOT regexp_matches(text, {_q("(?i)" + lx.BOILERPLATE)}) AND (has_number OR dw <> '' OR coalesce(section, '') = 'prepared_remarks')),
 c2 AS (SELECT *, round(least(1, 0.5 + CASE WHEN has_number THEN 0.3 ELSE 0 END + CASE WHEN direction IS NOT NULL THEN 0.15 ELSE 0 END + CASE WHEN speaker_role = 'executive' THEN 0.05 ELSE 0 END), 2)::DOUBLE AS confidence,
   row_number() OVER (PARTITION BY transcript_id ORDER BY segment_order, sentence_number, sentence_id) AS n FROM c1),
-c AS (SELECT format('{{}}_claim_{{:03d}}', transcript_id, n) AS claim_id, transcript_id, sentence_id, substr(text, 1, 800) AS claim_text, claim_type, direction, has_number, confidence
+c AS (SELECT format('{{}}_claim_{{:03d}}', transcript_id, n) AS claim_id, transcript_id, sentence_id, text AS claim_text, claim_type, direction, has_number, confidence
   FROM c2 QUALIFY row_number() OVER (PARTITION BY transcript_id ORDER BY confidence DESC, n) <= 20)"""
 
 
@@ -267,16 +268,68 @@ def _ex(pattern: str, i: int) -> str:
     return f"regexp_extract(claim_text, {_q('(?i)' + pattern)}, {i})"
 
 
+def _evasive(pairs: str, density: str | None = None) -> str:
+    """CTEs that end with ev: the features and score of evasiveness of `pairs`."""
+    own = f"({_count(_A, _bounded(lx.MODALS))} + {_count(_A, _bounded(lx.QUALIFIERS))} + {_phrases(_A, lx.UNCERTAINTY)})::DOUBLE / {_words(_A)}"
+    return f"""{_terms(True, pairs)},
+f AS (SELECT * EXCLUDE (question_text, answer_text), {_Q} = '' OR {_A} = '' AS blank,
+  list_filter(list_filter(list_distinct(regexp_extract_all(lower({_Q}), '[\\pL\\pN_]{{4,}}')), lambda w: regexp_full_match(w, '[a-z]+')), lambda w: NOT list_contains({_list(lx.TOPIC_STOP)}, w)) AS q4, list_filter(list_distinct(regexp_extract_all(lower({_A}), '[\\pL\\pN_]{{4,}}')), lambda w: regexp_full_match(w, '[a-z]+')) AS a4,
+  list_distinct(regexp_extract_all(lower({_Q}), '[\\pL\\pN_]{{3,}}')) AS q3, list_distinct(regexp_extract_all(lower({_A}), '[\\pL\\pN_]{{3,}}')) AS a3,
+  {_patterns(_ascii(_A), lx.DIRECT)} AS direct_count, {_patterns(_ascii(_A), lx.DEFLECTING)} AS deflecting_count, {_patterns(_ascii(_A), lx.GENERIC)} AS generic_count,
+  {_words(_A)} AS aw, {_words(_Q)} AS qw, regexp_matches({_ascii(_Q)}, {_q("(?i)" + lx.ASKS_NUMBER)}) AS asks_number, regexp_matches({_ascii(_A)}, {_q("(?i)" + lx.HAS_NUMBER)}) AS has_number, {density or own} AS hd FROM {pairs}),
+g AS (SELECT *, CASE WHEN len(q4) = 0 THEN 0.5::DOUBLE ELSE len(list_intersect(q4, a4))::DOUBLE / len(q4) END AS topic, CASE WHEN len(q3) = 0 OR len(a3) = 0 THEN 0::DOUBLE ELSE len(list_intersect(q3, a3))::DOUBLE / len(list_distinct(list_concat(q3, a3))) END AS keyword FROM f JOIN sim USING (qa_id)),
+ev AS (SELECT *, CASE WHEN blank THEN 0 ELSE greatest(0, least(100, 20 * (1 - similarity) + 20 * (1 - topic) + 10 * (1 - keyword) + 10 * (1 - least(direct_count / 3.0::DOUBLE, 1)) + 15 * least(deflecting_count / 3.0::DOUBLE, 1)
+    + 0.1::DOUBLE * least(hd * 200, 100) + 0.05::DOUBLE * least(generic_count::DOUBLE / aw * 10, 1) * 100 + 0.1::DOUBLE * CASE WHEN asks_number AND NOT has_number THEN 100 ELSE 0 END)) END AS evasive_score FROM g)"""
+
+
+#: Questions matched to answers: the course of a call step by step.
+_MATCHED = f"""seg AS (SELECT transcript_id, segment_id, coalesce(speaker_role, 'unknown') AS role, speaker, {_STRIP("text")} AS x, row_number() OVER (PARTITION BY transcript_id ORDER BY sequence, segment_id) AS i
+  FROM {SEGMENTS} WHERE section = 'q_and_a' AND {_STRIP("text")} <> '' AND transcript_id IS NOT NULL),
+fold AS (SELECT transcript_id, 0::BIGINT AS i, 'W' AS state, 0 AS pair, CAST(NULL AS VARCHAR) AS part FROM seg GROUP BY transcript_id
+  UNION ALL SELECT transcript_id, i, state, pair + CASE WHEN state = 'Q' AND old <> 'Q' THEN 1 ELSE 0 END, CASE WHEN role <> 'operator' AND state <> 'W' THEN state END FROM (
+    SELECT s.transcript_id, s.i, f.state AS old, f.pair, s.role, CASE WHEN role = 'operator' THEN CASE WHEN f.state = 'A' THEN 'W' ELSE f.state END
+      WHEN role = 'analyst' OR role = 'unknown' AND f.state <> 'A' THEN 'Q' WHEN (role = 'executive' OR role = 'unknown') AND f.state <> 'W' THEN 'A' ELSE f.state END AS state
+    FROM fold f JOIN seg s ON s.transcript_id = f.transcript_id AND s.i = f.i + 1)),
+sides AS (SELECT f.transcript_id, pair, min_by(segment_id, s.i) FILTER (part = 'Q') AS question_segment_id, min_by(segment_id, s.i) FILTER (part = 'A') AS answer_segment_id,
+  string_agg(x, ' ' ORDER BY s.i) FILTER (part = 'Q') AS question_text, string_agg(x, ' ' ORDER BY s.i) FILTER (part = 'A') AS answer_text FROM fold f JOIN seg s USING (transcript_id, i) WHERE part IS NOT NULL GROUP BY f.transcript_id, pair),
+qa AS (SELECT format('{{}}_qa_{{:03d}}', transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY pair) - 1) AS qa_id, transcript_id, question_segment_id, answer_segment_id, question_text, answer_text
+  FROM sides WHERE length(question_text) >= 20 AND length(answer_text) >= 20)"""
+
 #: Tone by the word lists, its windows and sections, each from its definition.
 _TONE = f"""t0 AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM {SENTENCES}),
 t1 AS (SELECT * EXCLUDE (w), greatest(len(w), 1) AS n, len(list_filter(w, lambda x: list_contains({_list(lx.TONE_UP)}, x))) AS p, len(list_filter(w, lambda x: list_contains({_list(lx.NEGATIVE)}, x))) AS q FROM t0),
 t2 AS (SELECT * EXCLUDE (n, p, q), least(p::DOUBLE / n * 5, 1) AS p, least(q::DOUBLE / n * 5, 1) AS q FROM t1), tone AS (SELECT * EXCLUDE (p, q), p / greatest(p + q, 1) AS positive, q / greatest(p + q, 1) AS negative FROM t2)"""
 _WINDOWS = """w0 AS (SELECT *, coalesce(avg(negative) OVER b, 0) AS rm, coalesce(stddev_pop(negative) OVER b, 0) AS rs, lag(negative, 1, 0) OVER o AS previous, row_number() OVER o AS rn FROM tone
   WINDOW o AS (PARTITION BY transcript_id ORDER BY segment_order, sentence_number, sentence_id), b AS (PARTITION BY transcript_id ORDER BY segment_order, sentence_number, sentence_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
-w AS (SELECT *, CASE WHEN rn = 1 THEN 0 ELSE least(abs(negative - rm) / (rs + 1e-6) / 3, 1) * 100 END AS shift_score FROM w0)"""
+win AS (SELECT *, CASE WHEN rn = 1 THEN 0 ELSE least(abs(negative - rm) / (rs + 1e-6) / 3, 1) * 100 END AS shift_score FROM w0)"""
 _SECTIONS = """ss AS (SELECT *, abs(q - p) * 100 AS section_shift FROM (
   SELECT transcript_id, coalesce(avg(negative) FILTER (section = 'prepared_remarks'), 0) AS p, coalesce(avg(negative) FILTER (section = 'q_and_a'), 0) AS q FROM tone GROUP BY transcript_id))"""
 
+#: Risk of sentences, pairs and calls, from hedging, tone and evasiveness.
+_RISK = f"""{_MATCHED}, {_TONE}, {_WINDOWS}, {_SECTIONS}, {_HEDGE},
+fd AS (SELECT segment_id AS answer_segment_id, min_by(hedge_density, (sentence_number, sentence_id)) AS fd FROM h GROUP BY segment_id),
+qf AS (SELECT qa.*, coalesce(fd, 0) AS fd FROM qa LEFT JOIN fd USING (answer_segment_id)), {_evasive("qf", "fd")},
+la AS (SELECT answer_segment_id AS segment_id, max_by(evasive_score, qa_id) AS evasive FROM ev GROUP BY answer_segment_id),
+k0 AS (SELECT h.*, win.negative, win.shift_score, coalesce(la.evasive, 0) AS evasive FROM h JOIN win USING (sentence_id) LEFT JOIN la ON la.segment_id = h.segment_id),
+k AS (SELECT *, greatest(0, least(100, CASE WHEN evasive = 0 THEN (0.35::DOUBLE * hedging_score + 0.25::DOUBLE * shift_score) / 0.6::DOUBLE ELSE 0.35::DOUBLE * hedging_score + 0.4::DOUBLE * evasive + 0.25::DOUBLE * shift_score END)) AS risk FROM k0),
+am AS (SELECT segment_id AS answer_segment_id, avg(risk) AS ar, avg(hedging_score) AS ah, avg(shift_score) AS ash FROM k GROUP BY segment_id),
+pr AS (SELECT qa_id, transcript_id, round(least(100, 0.5::DOUBLE * evasive_score + 0.25::DOUBLE * coalesce(ar, 0) + 0.15::DOUBLE * coalesce(ah, 0) + 0.1::DOUBLE * coalesce(ash, 0)), 2) AS pair_risk FROM ev LEFT JOIN am USING (answer_segment_id))"""
+
+
+def _top(g: str) -> str:
+    """CTEs that end with tr: n, mean, top_mean and blend of the risk by group."""
+    return f"""kr AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY risk DESC) AS rn, count(*) OVER (PARTITION BY {g}) AS n FROM k),
+tr AS (SELECT *, 0.6::DOUBLE * mean + 0.4::DOUBLE * top_mean AS blend FROM (SELECT {g}, max(n) AS n, avg(risk) AS mean, avg(CASE WHEN rn <= greatest(1, ceil(n * 0.1::DOUBLE)) THEN risk END) AS top_mean FROM kr GROUP BY {g}))"""
+
+
+def _matches(terms: list[str], most: int) -> str:
+    """Up to `most` matches as written, term by term, joined by `|`."""
+    parts = [f"regexp_extract_all(coalesce(text, ''), {_q('(?i)' + re.escape(t).replace(chr(92) + ' ', ' '))})" for t in sorted(set(terms), key=lambda t: (-len(t), t))]
+    return f"array_to_string(flatten([{', '.join(parts)}])[1:{most}], '|')"
+
+
+_MATCHES = f"ml AS (SELECT sentence_id, {_matches(lx.MODALS, 10)} AS modals, {_matches(lx.QUALIFIERS, 10)} AS qualifiers, {_matches(lx.UNCERTAINTY, 5)} AS uncertainty, {_matches(lx.DEFLECTION, 5)} AS deflection FROM {SENTENCES})"
+
 ORACLES = {
     "split_segments": f"""
 WITH m AS (SELECT segment_id, string_split(regexp_replace(regexp_replace({_STRIP("text")}, '([.!?]+)(\\s+)([A-Z"])', '\\1' || chr(31) || '\\2\\3', 'g'),
@@ -288,41 +341,42 @@ SELECT segment_id, CAST(i - 1 AS INTEGER) AS sentence_number, p[i] AS sentence F
 WITH t AS (SELECT transcript_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM {SENTENCES})
 SELECT transcript_id, round(avg(CASE WHEN len(w) = 0 THEN 0 ELSE least(100, len(list_filter(w, lambda x: list_contains({_list(lx.NEGATIVE)}, x)))::DOUBLE / len(w) * 500) END), 6) AS negative_score FROM t GROUP BY transcript_id""",
     "sentence_tone": f"WITH {_TONE} SELECT sentence_id, round(positive, 6) AS positive, round(negative, 6) AS negative, round(1 - positive - negative, 6) AS neutral, CASE WHEN 1 - positive - negative >= greatest(positive, negative) THEN 'neutral' WHEN negative >= positive THEN 'negative' ELSE 'positive' END AS label FROM tone",
-    "tone_windows": f"WITH {_TONE}, {_WINDOWS} SELECT sentence_id, round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, round(previous, 6) AS previous, round(shift_score, 3) AS shift_score FROM w",
+    "tone_windows": f"WITH {_TONE}, {_WINDOWS} SELECT sentence_id, round(rm, 6) AS rolling_mean, round(rs, 6) AS rolling_std, round(previous, 6) AS previous, round(shift_score, 3) AS shift_score FROM win",
     "tone_sections": f"WITH {_TONE}, {_SECTIONS} SELECT transcript_id, round(p, 6) AS prepared_mean, round(q, 6) AS qa_mean, round(section_shift, 6) AS section_shift FROM ss",
     "pair_similarity": f"WITH {_terms(False)} SELECT qa_id, round(similarity, 6) AS similarity FROM sim",
     "pair_evasiveness": f"""
-WITH {_terms(True)},
-f AS (SELECT qa_id, {_Q} = '' OR {_A} = '' AS blank,
-  list_filter(list_filter(list_distinct(regexp_extract_all(lower({_Q}), '[\\pL\\pN_]{{4,}}')), lambda w: regexp_full_match(w, '[a-z]+')), lambda w: NOT list_contains({_list(lx.TOPIC_STOP)}, w)) AS q4, list_filter(list_distinct(regexp_extract_all(lower({_A}), '[\\pL\\pN_]{{4,}}')), lambda w: regexp_full_match(w, '[a-z]+')) AS a4,
-  list_distinct(regexp_extract_all(lower({_Q}), '[\\pL\\pN_]{{3,}}')) AS q3, list_distinct(regexp_extract_all(lower({_A}), '[\\pL\\pN_]{{3,}}')) AS a3,
-  {_patterns(_ascii(_A), lx.DIRECT)} AS direct_count, {_patterns(_ascii(_A), lx.DEFLECTING)} AS deflecting_count, {_patterns(_ascii(_A), lx.GENERIC)} AS generic_count,
-  {_words(_A)} AS aw, {_words(_Q)} AS qw, regexp_matches({_ascii(_Q)}, {_q("(?i)" + lx.ASKS_NUMBER)}) AS asks_number, regexp_matches({_ascii(_A)}, {_q("(?i)" + lx.HAS_NUMBER)}) AS has_number,
-  ({_count(_A, _bounded(lx.MODALS))} + {_count(_A, _bounded(lx.QUALIFIERS))} + {_phrases(_A, lx.UNCERTAINTY)})::DOUBLE / {_words(_A)} AS hd FROM {PAIRS}),
-g AS (SELECT *, CASE WHEN len(q4) = 0 THEN 0.5::DOUBLE ELSE len(list_intersect(q4, a4))::DOUBLE / len(q4) END AS topic, CASE WHEN len(q3) = 0 OR len(a3) = 0 THEN 0::DOUBLE ELSE len(list_intersect(q3, a3))::DOUBLE / len(list_distinct(list_concat(q3, a3))) END AS keyword FROM f JOIN sim USING (qa_id))
+WITH {_evasive(PAIRS)}
 SELECT qa_id, round(CASE WHEN blank THEN 0 ELSE similarity END, 6) AS similarity, round(CASE WHEN blank THEN 0.5 ELSE topic END, 6) AS topic_overlap, round(CASE WHEN blank THEN 0 ELSE keyword END, 6) AS keyword_overlap,
-  CAST(direct_count AS INTEGER) AS direct_count, CAST(deflecting_count AS INTEGER) AS deflecting_count, CAST(generic_count AS INTEGER) AS generic_count, round(CASE WHEN blank THEN 1 ELSE aw::DOUBLE / qw END, 6) AS length_ratio, asks_number, has_number,
-  round(CASE WHEN blank THEN 0 ELSE greatest(0, least(100, 20 * (1 - similarity) + 20 * (1 - topic) + 10 * (1 - keyword) + 10 * (1 - least(direct_count / 3.0::DOUBLE, 1)) + 15 * least(deflecting_count / 3.0::DOUBLE, 1)
-    + 0.1::DOUBLE * least(hd * 200, 100) + 0.05::DOUBLE * least(generic_count::DOUBLE / aw * 10, 1) * 100 + 0.1::DOUBLE * CASE WHEN asks_number AND NOT has_number THEN 100 ELSE 0 END)) END, 6) AS evasive_score FROM g""",
-    "question_answers": f"""
-WITH RECURSIVE s AS (SELECT transcript_id, segment_id, coalesce(speaker_role, 'unknown') AS role, speaker, {_STRIP("text")} AS x, row_number() OVER (PARTITION BY transcript_id ORDER BY sequence, segment_id) AS i
-  FROM {SEGMENTS} WHERE section = 'q_and_a' AND {_STRIP("text")} <> '' AND transcript_id IS NOT NULL),
-f AS (SELECT transcript_id, 0::BIGINT AS i, 'W' AS state, 0 AS pair, CAST(NULL AS VARCHAR) AS part FROM s GROUP BY transcript_id
-  UNION ALL SELECT transcript_id, i, state, pair + CASE WHEN state = 'Q' AND old <> 'Q' THEN 1 ELSE 0 END, CASE WHEN role <> 'operator' AND state <> 'W' THEN state END FROM (
-    SELECT s.transcript_id, s.i, f.state AS old, f.pair, s.role, CASE WHEN role = 'operator' THEN CASE WHEN f.state = 'A' THEN 'W' ELSE f.state END
-      WHEN role = 'analyst' OR role = 'unknown' AND f.state <> 'A' THEN 'Q' WHEN (role = 'executive' OR role = 'unknown') AND f.state <> 'W' THEN 'A' ELSE f.state END AS state
-    FROM f JOIN s ON s.transcript_id = f.transcript_id AND s.i = f.i + 1)),
-p AS (SELECT f.transcript_id, pair, min_by(segment_id, s.i) FILTER (part = 'Q') AS question_segment_id, min_by(segment_id, s.i) FILTER (part = 'A') AS answer_segment_id,
-  string_agg(x, ' ' ORDER BY s.i) FILTER (part = 'Q') AS question_text, string_agg(x, ' ' ORDER BY s.i) FILTER (part = 'A') AS answer_text FROM f JOIN s USING (transcript_id, i) WHERE part IS NOT NULL GROUP BY f.transcript_id, pair)
-SELECT format('{{}}_qa_{{:03d}}', transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY pair) - 1) AS qa_id, transcript_id, question_segment_id, answer_segment_id, question_text, answer_text
-FROM p WHERE length(question_text) >= 20 AND length(answer_text) >= 20""",
+  CAST(direct_count AS INTEGER) AS direct_count, CAST(deflecting_count AS INTEGER) AS deflecting_count, CAST(generic_count AS INTEGER) AS generic_count, round(CASE WHEN blank THEN 1 ELSE aw::DOUBLE / qw END, 6) AS length_ratio, asks_number, has_number, round(evasive_score, 6) AS evasive_score FROM ev""",
+    "question_answers": f"WITH RECURSIVE {_MATCHED} SELECT * FROM qa",
     "risk_of_calls": f"""
 WITH {_HEDGE}, {_TOP.format(g="transcript_id")},
 b AS (SELECT transcript_id, avg(hedging_score) FILTER (section IN ('prepared_remarks', 'opening')) AS prepared, avg(hedging_score) FILTER (section = 'q_and_a') AS qa FROM h GROUP BY transcript_id),
 m AS (SELECT transcript_id, segment_id AS worst_segment FROM h QUALIFY row_number() OVER (PARTITION BY transcript_id ORDER BY hedging_score DESC, segment_order, sentence_number, sentence_id DESC) = 1)
 SELECT transcript_id, n, round(mean, 6) AS mean, round(top_mean, 6) AS top_mean, round(0.6::DOUBLE * mean + 0.4::DOUBLE * top_mean, 6) AS blend, round(prepared, 6) AS prepared, round(qa, 6) AS qa, worst_segment FROM t JOIN b USING (transcript_id) JOIN m USING (transcript_id)""",
     "risk_of_segments": f"WITH {_HEDGE}, {_TOP.format(g='segment_id')} SELECT segment_id, n, round(0.6::DOUBLE * mean + 0.4::DOUBLE * top_mean, 6) AS blend FROM t",
-    "claims": f"WITH {_CLAIM} SELECT * FROM c",
+    "hedging_matches": f"WITH {_MATCHES} SELECT * FROM ml WHERE modals <> '' OR qualifiers <> '' OR uncertainty <> '' OR deflection <> ''",
+    "risk_of_sentences": f"WITH RECURSIVE {_RISK} SELECT sentence_id, round(risk, 3) AS risk, round(evasive, 3) AS evasive FROM k",
+    "risk_of_pairs": f"WITH RECURSIVE {_RISK} SELECT qa_id, pair_risk FROM pr",
+    "risk_overall": f"""
+WITH RECURSIVE {_RISK}, {_top("transcript_id")},
+pt AS (SELECT transcript_id, round(avg(pair_risk), 2) AS asked FROM pr GROUP BY transcript_id),
+b AS (SELECT transcript_id, round(coalesce(avg(risk) FILTER (section IN ('prepared_remarks', 'opening')), 0), 2) AS prepared, round(coalesce(avg(risk) FILTER (section = 'q_and_a'), 0), 2) AS spoken, max_by(segment_id, (risk, -segment_order, -sentence_number)) AS worst_segment FROM k GROUP BY transcript_id),
+o AS (SELECT transcript_id, n, round(least(100, round(blend, 2) + least(coalesce(section_shift, 0) * 0.1::DOUBLE, 5)), 2) AS overall, prepared, round(CASE WHEN asked IS NOT NULL THEN 0.5::DOUBLE * spoken + 0.5::DOUBLE * asked ELSE spoken END, 6) AS qa, worst_segment
+  FROM tr JOIN b USING (transcript_id) LEFT JOIN pt USING (transcript_id) LEFT JOIN ss USING (transcript_id))
+SELECT *, CASE WHEN overall >= 70 THEN 'critical' WHEN overall >= 40 THEN 'high' WHEN overall >= 20 THEN 'moderate' ELSE 'low' END AS band FROM o""",
+    "risk_factors": f"""
+WITH RECURSIVE {_RISK}, {_MATCHES}
+SELECT k.sentence_id, round(risk, 2) AS risk, round(hedging_score, 3) AS hedging_score, round(shift_score, 3) AS tone_shift_score, round(evasive, 3) AS evasive_score, round(k.negative, 3) AS negative_prob, 0.35::DOUBLE AS hedging_weight, 0.4::DOUBLE AS evasive_weight, 0.25::DOUBLE AS shift_weight,
+  modals AS matched_modals, qualifiers AS matched_qualifiers, uncertainty AS matched_uncertainty_phrases, deflection AS matched_deflection_phrases, CAST(deflection_count AS INTEGER) AS deflection_count, CAST(uncertainty_count AS INTEGER) AS uncertainty_phrase_count,
+  CASE WHEN 1 - positive - tone.negative >= greatest(positive, tone.negative) THEN 'neutral' WHEN tone.negative >= positive THEN 'negative' ELSE 'positive' END AS sentiment_label
+FROM k JOIN ml USING (sentence_id) JOIN tone USING (sentence_id)""",
+    "segment_summary": f"""
+WITH RECURSIVE {_RISK}, {_top("segment_id")},
+b AS (SELECT segment_id, round(avg(hedging_score), 2) AS avg_hedging, round(avg(shift_score), 2) AS avg_tone_shift, round(avg(evasive), 2) AS avg_evasive, round(avg(negative), 4) AS avg_negative_prob, round(max(risk), 2) AS max_hidden_risk_in_segment, count(*) AS sentence_count,
+  max_by(sentence_id, (risk, -sentence_number)) AS top_risk_sentence_id, substr(max_by(text, (risk, -sentence_number)), 1, 200) AS top_risk_sentence_text FROM k GROUP BY segment_id)
+SELECT segment_id, round(blend, 2) AS segment_risk_score, round(mean, 2) AS avg_hidden_risk, round(top_mean, 2) AS top_k_risk, b.* EXCLUDE (segment_id) FROM tr JOIN b USING (segment_id)""",
+    "claims": f"WITH {_CLAIM} SELECT * REPLACE (substr(claim_text, 1, 800) AS claim_text) FROM c",
     "claim_values": f"""
 WITH {_CLAIM},
 n AS (SELECT claim_id, claim_text, {_case("claim_text", lx.METRICS, "claim_type")} AS metric, coalesce({_num(_ex(lx.RANGE_PERCENT, 1))}, {_num(_ex(lx.RANGE_PERCENT, 3))}) AS lo, coalesce({_num(_ex(lx.RANGE_PERCENT, 2))}, {_num(_ex(lx.RANGE_PERCENT, 4))}) AS hi,
