@@ -366,7 +366,7 @@ def learn(calls: list[tuple[list[tuple[str | None, str]], list]]) -> Tagger:
     """The averaged perceptron over pieces of the calls, in their order; open tags are the best under the weights."""
     read = [(who, [_TOKEN.findall(x) for x in text.split("\n")], people) for pieces, people in calls for who, text in pieces]
     use = usage([[t for line in lines for t in line] for _, lines, _ in read])
-    data, rosters, before = starters() * 6, {}, None
+    data, rosters, before = starters() * 10, {}, None
     for who, lines, people in read:
         roster = rosters.setdefault(id(people), Roster(people))
         label = _TOKEN.findall(_labelled(who, "")) if (who or "").strip() else []
