@@ -1,34 +1,53 @@
 """Defective prompt and response pairs: empty, copied, refused, in another language, broken off.
 
-Language: a naive Bayes classifier on character n-grams is trained on labelled texts; a response is in another language
-if the posterior odds between its own best language and that of its prompt exceed a margin, for both texts.
-Truncation: over all responses it is counted how often each n-gram of tokens is followed by the end of a sentence or
-text; a response without a final stop is broken off if the n-gram it ends with seldom ends anything. Both models are
-tables of fixed size (hashed), counted over all rows and sent to the workers.
+Empty and copied responses are what they are by definition. The rest is judged by models of the whole tables.
+
+Language: a naive Bayes classifier on character n-grams, trained on labelled texts and then on those prompts and
+responses that it is sure of; a response is in another language if the posterior odds between its own best language and
+that of its prompt exceed a margin, for both texts.
+Truncation: it is counted how often each n-gram of tokens is followed by an end. The likelihood of an end after the
+last words of a response, marks behind them left out, is held together with how often the response's last mark closes
+what breaks off; that is learned from the responses whose last words alone are decisive.
+Refusal: the same n-grams are counted in responses with a phrase that declines (SEEDS) and in all. A sentence declines
+if its odds are high; a response is a refusal if a sentence declines and none tells anything, that is, none is made of
+n-grams that refusals do without.
+
+Counts are exact. Of n-grams the model keeps those with at least a share RARE of all, or RARE_DECLINED of those in
+responses that decline: at most 1 / RARE + 1 / RARE_DECLINED.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.sources.tables import spread, width
-
-
-#: log2 of the buckets of the language model and of the end-of-text model.
-LANG_SIZE, END_SIZE = 16, 20
-#: Languages at most; the most frequent labels are taken.
-LANGUAGES = 64
-#: Nats by which the posterior of another language must be ahead, for prompt and response.
-AHEAD = 4.0
-#: Tokens of the longest n-gram before an end, times an n-gram must occur to be judged, and the chance of an end below
-#: which a text is broken off.
-ORDER, SEEN, ENDS = 5, 3, 0.02
+from parley.sources.tables import cut, spread
+
+#: log2 of the buckets of the language model; shares of buckets, not counts, are compared.
+LANG_SIZE = 16
+#: Languages at most; more labels raise an error.
+LANGUAGES = 512
+#: Nats by which the posterior of another language must be ahead, for prompt and response, and to train on a text.
+#: Each character is in three n-grams, so sums are divided by three.
+AHEAD, SURE = 4.0, 15.0
+#: Tokens of the longest n-gram before an end and of the longest that refusals are told by.
+ORDER, WORDS = 5, 3
+#: Share of all n-grams, or of those in responses that decline, that one must have to be known, and times it must occur
+#: to tell of ends.
+RARE, RARE_DECLINED, SEEN = 1e-6, 1e-5, 3
+#: Occurrences from which the last words alone are decisive; the chance of an end below and above which they are.
+DECISIVE, BREAKS, ENDS = 10, 0.02, 0.2
+#: Nats of a broken off response, of a sentence that declines, and of one that tells something.
+BROKEN, DECLINES, TELLS = 1.0, 8.0, -3.0
+#: Occurrences that what is expected of an n-gram weighs.
+PRIOR = 2.0
 #: Words of a text that may be complete without a final stop.
 SHORT = 5
 
@@ -38,8 +57,8 @@ _TOKEN = re.compile(r"\d[\d.,]*\d|\d|[฀-๿぀-ヿ㐀-鿿]|[^\W\d_฀-๿぀-
 _NOTHING = re.compile(r"<[^>]*>|\[[^\]]*\]|\([^)]*\)")
 #: Placeholders that say nothing.
 _PLACEHOLDERS = {"", "null", "none", "nan", "na", "n/a", "nil", "tbd", "blank", "empty", "a", "answer", "no response", "no answer", "undefined"}
-#: Phrases that decline, in the languages of the calls.
-_REFUSALS = re.compile(
+#: Phrases that decline, in the languages of the calls: what the model of refusals starts from.
+SEEDS = re.compile(
     r"not something we (?:disclose|share|discuss)|no comment|(?:do|does|will|would|can) ?not (?:be )?comment(?:ing)?\b|declin\w+ to (?:answer|comment)|rather not get into|inappropriate for me to|"
     r"policy is not to|not able to (?:share|answer|comment)|unable to (?:share|answer|comment|discuss)|advice of counsel|never broken that out|cannot (?:discuss|answer|comment|help)|can't (?:discuss|answer|comment|help)|"
     r"no puedo responder|no hacemos comentarios|no podemos (?:comentar|responder)|ne peux .{0,20}pas répondre|ne commentons pas|ne pouvons .{0,20}pas (?:répondre|commenter)|pas de commentaire|"
@@ -49,8 +68,6 @@ _REFUSALS = re.compile(
     r"उत्तर नहीं दे|टिप्पणी नहीं|जवाब नहीं दे|ไม่สามารถตอบ|ไม่ขอแสดงความ|ไม่สามารถให้ความ",
     re.IGNORECASE,
 )
-#: Courtesies beside which nothing is said.
-_COURTESY = re.compile(r"^\W*(?:thank(?:s| you)?(?: for asking)?|thanks,? \w+|next question,? please|sorry|you know|look|well|i hope you understand|let us move on|good morning|danke|merci|gracias|obrigado|ありがとうございます)?\W*$", re.IGNORECASE)
 _SENTENCE = re.compile(r"[^.!?。！？।؟]*[.!?。！？।؟]*")
 
 
@@ -77,10 +94,8 @@ def ending(text: str) -> str:
     return text.rstrip(_CLOSE)
 
 
-def _bucket(context: tuple[str, ...]) -> int:
-    import zlib
-
-    return zlib.crc32("\x1f".join(context).encode("utf-8", "surrogatepass")) & ((1 << END_SIZE) - 1)
+def _hash(gram: tuple[str, ...]) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(gram).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def contexts(toks: list[str], at: int) -> Iterator[tuple[str, ...]]:
@@ -98,60 +113,171 @@ def _sums(kind: int, value: np.ndarray) -> pa.RecordBatch:
 
 
 def _added(df: DataFrame, kinds: int, size: int) -> np.ndarray:
-    out = np.zeros((kinds, size), dtype=np.float32)
-    for r in df.groupBy("kind", "i").agg(F.sum("v").alias("v")).toLocalIterator():
-        out[r["kind"], r["i"]] = r["v"]
+    """The summed tables; at most kinds * size rows reach the driver, in Arrow."""
+    out = np.zeros((kinds, size))
+    t = df.groupBy("kind", "i").agg(F.sum("v").alias("v")).toArrow()
+    out[t.column("kind").to_numpy(), t.column("i").to_numpy()] = t.column("v").to_numpy()
     return out
 
 
-def train_languages(texts: DataFrame, *, text: str, label: str) -> np.ndarray:
-    """Log-probabilities of n-gram buckets by language, from all labelled texts. At most LANGUAGES * 2**16 numbers."""
+def _log_shares(counts: np.ndarray) -> np.ndarray:
+    share = (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * (1 << LANG_SIZE))
+    return np.log(share).astype(np.float32)
+
+
+def _language_counts(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
+    """Counts of n-gram buckets by language; `of` gives the language of a row's text, or None."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[0] and (k := of(row)) is not None:
+                sums.setdefault(k, np.zeros(1 << LANG_SIZE, dtype=np.int64))
+                np.add.at(sums[k], ngrams(row[0]), 1)
+    for k, v in sums.items():
+        yield _sums(k, v)
+
+
+def train_languages(texts: DataFrame, *, text: str, label: str, own: DataFrame) -> np.ndarray:
+    """Log-shares of n-gram buckets by language, from all labelled texts and the texts of `own` (column t) it is sure of."""
     name = F.lower(F.regexp_extract(F.trim(F.col(label)), "^([A-Za-z]{2,3})(?:[-_].*)?$", 1))
     rows = spread(texts.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), name.alias("l")).where("l <> ''"))
-    names = [r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
+    names = sorted(r["l"] for r in rows.select("l").distinct().limit(LANGUAGES + 1).collect())
+    if len(names) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} language labels")
     index = {n: i for i, n in enumerate(names)}
+    schema = "kind int, i int, v bigint"
+    counts = _added(rows.mapInArrow(lambda bs: _language_counts(bs, lambda r: index[r[1]]), schema), max(1, len(names)), 1 << LANG_SIZE)
+    sent = texts.sparkSession.sparkContext.broadcast(_log_shares(counts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for t, lab in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if (k := index.get(lab)) is not None:
-                    sums.setdefault(k, np.zeros(1 << LANG_SIZE, dtype=np.int64))
-                    sums[k] += np.bincount(ngrams(t), minlength=1 << LANG_SIZE)
-        for k, v in sums.items():
-            yield _sums(k, v)
-
-    counts = _added(rows.mapInArrow(run, "kind int, i int, v bigint"), max(1, len(names)), 1 << LANG_SIZE)
-    share = (counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * (1 << LANG_SIZE))
-    return np.log(share).astype(np.float32)
+    def sure(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Languages(sent.value)
 
+        def language(row) -> int | None:
+            x = model.scores(row[0])
+            best = int(x.argmax())
+            return best if len(x) > 1 and x[best] - np.partition(x, -2)[-2] > SURE else None
 
-def train_ends(responses: DataFrame, text: str) -> np.ndarray:
-    """Two tables: how often each n-gram occurs, and how often the end of a sentence or text follows it."""
+        return _language_counts(bs, language)
+
+    more = _added(own.mapInArrow(sure, schema), max(1, len(names)), 1 << LANG_SIZE)
+    return _log_shares(counts + more)
+
+
+def is_end(toks: list[str], i: int, letters: int) -> bool:
+    """Whether a sentence or text ends before token i: at a stop, or where a short text ends.
+
+    The end of a text without a stop counts for short texts only: they may be complete without one.
+    """
+    if i < len(toks):
+        return toks[i] in _STOP and toks[i + 1 : i + 2] != ["."] or toks[i] == " "
+    return letters <= SHORT
+
+
+def count_ngrams(responses: DataFrame, text: str) -> DataFrame:
+    """h, n, e, r: hash of each n-gram, its occurrences, those before an end, and those in responses with a seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, s = np.zeros(1 << END_SIZE, dtype=np.int64), np.zeros(1 << END_SIZE, dtype=np.int64)
-        known: dict[tuple[str, ...], int] = {}
+        sums: dict[tuple[str, ...], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            v = np.array(list(sums.values()), dtype=np.int64).reshape(-1, 3)
+            return pa.RecordBatch.from_arrays([pa.array([_hash(c) for c in sums], pa.int64()), *(pa.array(v[:, k]) for k in range(3))], names=["h", "n", "e", "r"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 toks = tokens(ending(t))
+                seed = SEEDS.search(t) is not None
+                words = sum(x[0].isalnum() for x in toks)
                 for i in range(1, len(toks) + 1):
-                    stop = i < len(toks) and (toks[i] in _STOP and toks[i + 1 : i + 2] != ["."] or toks[i] == " ")
-                    # The end of a text without a stop counts for short texts only: they may be complete without one,
-                    # longer ones are mostly broken off.
-                    end = stop or i == len(toks) and sum(t[0].isalnum() for t in toks) <= SHORT
+                    end = is_end(toks, i, words)
                     for c in contexts(toks, i):
-                        k = known.get(c)
-                        if k is None:
-                            if len(known) > 500_000:
-                                known.clear()
-                            k = known[c] = _bucket(c)
-                        n[k] += 1
-                        s[k] += end
-        yield _sums(0, n)
-        yield _sums(1, s)
+                        x = sums.get(c)
+                        if x is None:
+                            x = sums[c] = [0, 0, 0]
+                        x[0] += 1
+                        x[1] += end
+                        x[2] += seed
+            if len(sums) > 400_000:
+                yield out()
+                sums.clear()
+        yield out()
+
+    return responses.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "h bigint, n bigint, e bigint, r bigint").groupBy("h").agg(*[F.sum(c).alias(c) for c in "ner"])
+
+
+class Grams:
+    """Known n-grams by hash, in order: occurrences, ends and occurrences in responses that decline.
 
-    return _added(responses.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "kind int, i int, v bigint"), 2, 1 << END_SIZE)
+    `mark_odds` has the log-odds that a response with a last mark is broken off.
+    """
+
+    def __init__(self, table: np.ndarray, total: int, declined: int, mark_odds: dict[str, float]) -> None:
+        self.h, self.counts = table[:, 0], table[:, 1:]
+        self.total, self.declined, self.mark_odds = total, declined, mark_odds
+
+    def get(self, gram: tuple[str, ...]) -> np.ndarray | None:
+        h = _hash(gram)
+        i = int(np.searchsorted(self.h, h))
+        return self.counts[i] if i < len(self.h) and self.h[i] == h else None
+
+    def ending(self, toks: list[str]) -> tuple[int, float]:
+        """Occurrences of the longest known n-gram at the end, and the chance that it ends something; 0 for none known."""
+        for c in contexts(toks, len(toks)):
+            if (x := self.get(c)) is not None and x[0] >= SEEN:
+                return int(x[0]), float(x[1] / x[0])
+        return 0, 0.0
+
+    def declines(self, toks: list[str]) -> float:
+        """Log-odds of a sentence's words in responses that decline against all others; unknown words say nothing."""
+        p = (self.declined + 1.0) / (self.total + 2.0)
+        ratio, score = np.log((1 - p) / p), 0.0
+        for i in range(1, len(toks) + 1):
+            for n in range(min(WORDS, i), 0, -1):
+                if (x := self.get(tuple(toks[i - n : i]))) is not None:
+                    score += np.log((x[2] + PRIOR * p) / (x[0] - x[2] + PRIOR * (1 - p))) + ratio
+                    break
+        return float(score)
+
+
+def last_mark(answer: str) -> str:
+    """What a response ends with: its marks behind the last word, one kind of runs, or without any its length."""
+    tail = re.search(r"[^\w]*$|\[[^\]]*\]\s*$", answer).group().strip().translate({ord(c): None for c in _CLOSE if not c.isspace()})
+    bracket = re.search(r"\[[^\]]*\]\s*$", answer)
+    mark = "[]" if bracket else tail[-1:] if not tail.endswith(("..", "…")) else "..."
+    return mark or ("short" if sum(t[0].isalnum() for t in tokens(answer)) <= SHORT else "long")
+
+
+def last_words(answer: str) -> list[str]:
+    """The tokens of a response up to its last word: a note in brackets and marks behind it are left out."""
+    toks = tokens(re.sub(r"\s*\[[^\]]*\]\s*$", "", answer))
+    while toks and not toks[-1][0].isalnum() and not toks[-1].isspace() and not _SPOKEN_MARK.match(toks[-1]):
+        toks.pop()
+    return toks
+
+
+#: Marks that end a sentence as words do.
+_SPOKEN_MARK = re.compile(r"[%)）]")
+
+
+def mark_odds(responses: DataFrame, text: str, sent) -> dict[str, float]:
+    """For each last mark the log-odds that what it closes is broken off, from responses with decisive last words.
+
+    At most as many rows as there are marks reach the driver, the most frequent 1,000 in order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams(*sent.value)
+        sums: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                toks = last_words(t)
+                n, share = grams.ending(toks)
+                if n >= DECISIVE and (share < BREAKS or share > ENDS):
+                    sums[last_mark(t)][share < BREAKS] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1] for x in sums.values()], pa.int64())], names=["m", "whole", "broken"])
+
+    rows = responses.where(F.col(text).isNotNull()).select(text).mapInArrow(run, "m string, whole bigint, broken bigint").groupBy("m").agg(F.sum("whole").alias("whole"), F.sum("broken").alias("broken"))
+    return {r["m"]: float(np.log((r["broken"] + 0.5) / (r["whole"] + 0.5))) for r in rows.orderBy(F.desc(F.col("whole") + F.col("broken")), "m").limit(1000).collect()}
 
 
 def letters(text: str) -> str:
@@ -191,14 +317,10 @@ def is_copied(question: str, answer: str) -> bool:
     return bool(parts) and not a
 
 
-def is_refusal(answer: str) -> bool:
-    """Whether the answer declines and nothing else is said in it but courtesies."""
-    if not _REFUSALS.search(answer):
-        return False
-    for s in _SENTENCE.findall(answer):
-        if s.strip() and not _REFUSALS.search(s) and not _COURTESY.match(s):
-            return False
-    return not re.search(r"\d\s*(?:%|million|billion|basis)", answer)
+def is_refusal(answer: str, grams: Grams) -> bool:
+    """Whether a sentence declines and none tells anything."""
+    scores = [grams.declines(["^", *toks]) for x in _SENTENCE.findall(answer) if (toks := [t for t in tokens(x) if t[0].isalnum()])]
+    return bool(scores) and max(scores) >= DECLINES and min(scores) > TELLS
 
 
 class Languages:
@@ -206,7 +328,7 @@ class Languages:
         self.log = log
 
     def scores(self, text: str) -> np.ndarray:
-        return self.log[:, ngrams(text)].sum(axis=1)
+        return self.log[:, ngrams(text)].sum(axis=1) / 3.0
 
     def differ(self, question: str, answer: str) -> bool:
         q, a = self.scores(question), self.scores(answer)
@@ -214,21 +336,17 @@ class Languages:
         return i != k and q[i] - q[k] > AHEAD and a[k] - a[i] > AHEAD
 
 
-def broken_off(answer: str, ends: np.ndarray) -> bool:
-    text = ending(answer)
-    if not text:
-        return False
-    if text[-1] in _STOP and not text.endswith("..") and not answer.rstrip().endswith("[cut]"):
+def broken_off(answer: str, grams: Grams) -> bool:
+    """Whether the last words and the last mark together tell that a response breaks off.
+
+    Words that are not known at all say nothing, but that a whole response mostly ends with known ones.
+    """
+    toks = last_words(answer)
+    if not toks:
         return False
-    if answer.rstrip().endswith(("…", "...", "[cut]", "–", "—", "-", ",", ";", ":", "$", "(", "&")):
-        return True
-    toks = tokens(text)
-    for c in contexts(toks, len(toks)):
-        k = _bucket(c)
-        n, s = ends[0, k], ends[1, k]
-        if n >= SEEN:
-            return bool(s / n < ENDS)
-    return True
+    n, share = grams.ending(toks)
+    words = np.log((1 - share + 0.5 / (n + 1)) / (share + 0.5 / (n + 1))) if n else 1.0
+    return bool(words + grams.mark_odds.get(last_mark(answer), 0.0) > BROKEN)
 
 
 def pair_defects(pairs: DataFrame, labelled: DataFrame, *, key: str, question: str, answer: str, labelled_text: str, label: str) -> DataFrame:
@@ -238,15 +356,20 @@ def pair_defects(pairs: DataFrame, labelled: DataFrame, *, key: str, question: s
     copied or be in another language. Pairs with null key are left out, repeated rows come out once. Empty tables give
     no rows.
     """
-    language = train_languages(labelled, text=labelled_text, label=label)
-    n = width(pairs.sparkSession)
-    one = pairs.where(F.col(key).isNotNull()).select(key, question, answer).repartition(n, key).distinct()
-    ends = train_ends(one, answer)
-    sent = pairs.sparkSession.sparkContext.broadcast((language, ends))
+    one = pairs.where(F.col(key).isNotNull()).select(key, question, answer).repartition(key).distinct()
+    own = spread(pairs.select(F.explode(F.array(question, answer)).alias("t")).where("t is not null"))
+    language = train_languages(labelled, text=labelled_text, label=label, own=own)
+    counted = cut(count_ngrams(one, answer))
+    total, declined = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first()
+    kept = counted.where((F.col("n") >= total * RARE) | (F.col("r") >= max(1, declined * RARE_DECLINED))).orderBy("h").toArrow()
+    table = np.stack([kept.column(c).to_numpy() for c in "hner"], axis=1) if kept.num_rows else np.zeros((0, 4), dtype=np.int64)
+    sc = pairs.sparkSession.sparkContext
+    marks = mark_odds(one, answer, sc.broadcast((table, total, declined, {})))
+    sent = sc.broadcast((language, table, total, declined, marks))
     kind = pairs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang = Languages(sent.value[0])
+        lang, grams = Languages(sent.value[0]), Grams(*sent.value[1:])
         for b in batches:
             rows, out = [], []
             for i, (q, a) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
@@ -255,11 +378,11 @@ def pair_defects(pairs: DataFrame, labelled: DataFrame, *, key: str, question: s
                     d = "empty"
                 elif is_copied(q, a):
                     d = "copied"
-                elif is_refusal(a):
+                elif is_refusal(a, grams):
                     d = "refusal"
                 elif letters(q) and lang.differ(q, a):
                     d = "other_language"
-                elif broken_off(a, sent.value[1]):
+                elif broken_off(a, grams):
                     d = "truncated"
                 else:
                     continue
