@@ -52,7 +52,9 @@ def test_sentences_of_an_empty_table_and_repeated_rows(spark):
     df = spark.createDataFrame([], "id string, text string")
     assert se.sentence_units(df, key="id", text="text").collect() == []
     df = spark.createDataFrame([("a", "One. Two."), ("a", "One. Two."), (None, "x.")], "id string, text string")
-    assert se.sentence_units(df, key="id", text="text").count() in (1, 2)
+    rows = [tuple(r)[1:3] for r in se.sentence_units(df, key="id", text="text").orderBy("start_char").collect()]
+    # The row came out once, whatever a model of four words takes for a unit: all of it and nothing twice.
+    assert rows in ([(0, 9)], [(0, 4), (5, 9)])
 
 
 @settings(max_examples=150, deadline=None)
@@ -60,8 +62,8 @@ def test_sentences_of_an_empty_table_and_repeated_rows(spark):
 def test_units_cover_every_character_once(text):
     import numpy as np
 
-    counts = se.Counts(np.zeros((len(se.KINDS), 1 << se.SIZE), dtype=np.float32))
-    chain = se.Chain({"1": 0.1, "next=upper": 1.0}, (0.0, 0.0))
+    counts = se.Counts(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))
+    chain = (se.Chain({"1": 0.1, "next=upper": 1.0}, (0.0, 0.0)), se.Chain({"1": 0.1}, (0.0, 0.0)))
     at = 0
     for s, e in se.units(text, chain, counts):
         assert at <= s < e <= len(text) and not text[at:s].strip() and text[s:e] == text[s:e].strip()
