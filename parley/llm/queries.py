@@ -122,21 +122,26 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_units": p3_units, "p5_found": p5_found, "p5_items": p5_items, "p5_annotators": p5_annotators, "p6_found": p6_found, "p7_found": p7_found, "p7_turns": p7_turns, "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_containers": p9_containers, "p10_found": p10_found}
 
-ORACLES = {
-    "p1_found": f"""
-WITH {ORACLE_CALLS}, {oracle_evidence()}
-SELECT transcript_id, evidence_id FROM (
-  SELECT c.transcript_id, e.evidence_id, row_number() OVER (PARTITION BY c.transcript_id ORDER BY abs(epoch_us(e.instant) - epoch_us(c.instant)), e.instant, e.evidence_id) AS rn
-  FROM calls c JOIN ev e ON c.ticker = e.ticker AND e.instant BETWEEN c.instant - INTERVAL 86400 SECOND AND c.instant + INTERVAL 86400 SECOND) WHERE rn = 1""",
-    "p2_found": f"""
-WITH site AS (SELECT transcript_id, {oracle_ticker("ticker")} AS site FROM (
+_LINES = f"""site AS (SELECT transcript_id, {oracle_ticker("ticker")} AS site FROM (
     SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY created_at DESC NULLS LAST, ticker DESC NULLS LAST) AS rn FROM transcripts) WHERE rn = 1),
 s AS (SELECT DISTINCT segment_id, s.transcript_id, coalesce(site, upper(split_part(s.transcript_id, '_', 1))) AS site, text
   FROM segments s LEFT JOIN site USING (transcript_id) WHERE segment_id IS NOT NULL AND s.transcript_id IS NOT NULL),
 n AS (SELECT site, count(DISTINCT transcript_id) AS docs FROM s GROUP BY site),
 l AS (SELECT segment_id, transcript_id, site, i - 1 AS line_no, lower(regexp_replace(parts[i], '[^\\p{{L}}]', '', 'g')) AS k
   FROM (SELECT *, string_split(text, chr(10)) AS parts FROM s WHERE text IS NOT NULL), LATERAL (SELECT unnest(generate_series(1, len(parts))) AS i)),
-f AS (SELECT site, k FROM l WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT transcript_id) >= 4 AND count(DISTINCT transcript_id) >= 0.4 * (SELECT docs FROM n WHERE n.site = l.site))
-SELECT DISTINCT segment_id, CAST(line_no AS INTEGER) AS line_no FROM l JOIN f USING (site, k)""",
+f AS (SELECT site, k FROM l WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT transcript_id) >= 4 AND count(DISTINCT transcript_id) >= 0.4 * (SELECT docs FROM n WHERE n.site = l.site))"""
+
+ORACLES = {
+    "p1_found": f"""
+WITH {ORACLE_CALLS}, {oracle_evidence()}
+SELECT transcript_id, evidence_id FROM (
+  SELECT c.transcript_id, e.evidence_id, row_number() OVER (PARTITION BY c.transcript_id ORDER BY abs(epoch_us(e.instant) - epoch_us(c.instant)), e.instant, e.evidence_id) AS rn
+  FROM calls c JOIN ev e ON c.ticker = e.ticker AND e.instant BETWEEN c.instant - INTERVAL 86400 SECOND AND c.instant + INTERVAL 86400 SECOND) WHERE rn = 1""",
+    "p2_found": f"WITH {_LINES} SELECT DISTINCT segment_id, CAST(line_no AS INTEGER) AS line_no FROM l JOIN f USING (site, k)",
+    "p2_cleaned": f"""
+WITH {_LINES}, gone AS (SELECT DISTINCT segment_id, line_no FROM l JOIN f USING (site, k)),
+d AS (SELECT DISTINCT segment_id, text FROM segments), parts AS (SELECT segment_id, text, i - 1 AS line_no, string_split(text, chr(10))[i] AS line FROM d, LATERAL (SELECT unnest(generate_series(1, len(string_split(text, chr(10))))) AS i))
+SELECT d.segment_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.kept, '') END AS text
+FROM d LEFT JOIN (SELECT segment_id, text, string_agg(line, chr(10) ORDER BY line_no) AS kept FROM parts p WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.segment_id = p.segment_id AND g.line_no = p.line_no) GROUP BY segment_id, text) k ON d.segment_id IS NOT DISTINCT FROM k.segment_id AND d.text = k.text""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -105,14 +105,25 @@ def test_suffix_array():
         ids = rng.integers(0, 4, n)
         got = list(sl.suffix_array(ids))
         assert got == sorted(range(n), key=lambda i: tuple(ids[i:]))
-        order = sl.suffix_array(ids)
-        lcp = sl.common_prefixes(ids, order, 5)
-        for k in range(1, n):
-            a, b = list(ids[order[k - 1] :]), list(ids[order[k] :])
-            want = 0
-            while want < min(len(a), len(b), 5) and a[want] == b[want]:
-                want += 1
-            assert lcp[k] == want
+
+
+def test_repeated_blocks_are_those_of_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n, least in ((1, 1), (9, 2), (40, 2), (60, 3)):
+        doc = np.sort(rng.integers(0, 6, n))
+        ids = rng.integers(0, 3, n).astype(np.int64)
+        # Separators of their own between documents.
+        cut = np.flatnonzero(np.diff(doc)) + 1
+        all_ids, all_doc = np.insert(ids, cut, -1 - np.arange(len(cut))), np.insert(doc, cut, -1)
+        want = {}
+        for d in range(1, n + 1):
+            for i in range(n - d + 1):
+                if doc[i] == doc[i + d - 1]:
+                    want.setdefault(tuple(ids[i : i + d]), set()).add(doc[i])
+        got = {tuple(all_ids[p : p + d]): k for d, at, k_ in sl.repeated_blocks(all_ids, all_doc, least) for p, k in zip(at, k_, strict=True)}
+        assert got == {b: len(ds) for b, ds in want.items() if len(b) == 1 or len(ds) >= least}
 
 
 def test_very_long_text(spark):
