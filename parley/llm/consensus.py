@@ -6,6 +6,9 @@ the parameters sent to them and return sums (confusion counts, the classifier's
 shuffle of a few rows a partition. The classifier takes one step of the fixed-bound Newton method an iteration, which
 never lowers its likelihood and needs the features' second moments only once.
 
+The fit starts from one of at most START items, the least by hash, iterated in the driver until it stands still; passes
+over all items then go on until the likelihood of all stands still. Where it doesn't, an error says so.
+
 Items hold one label an annotator at most, so an item's row is bounded by the number of annotators, and so are the
 parameters (9 doubles each); MOST bounds that number.
 """
@@ -29,7 +32,8 @@ CLASSES = 3
 HASHED = 48
 #: Annotators at most: their parameters, 7 MB, are sent to every worker. More raise an error.
 MOST = 100_000
-ITERATIONS, TOLERANCE = 40, 1e-5
+#: Items that the fit starts from, relative gain at which it stands still, and passes after which it is an error.
+START, TOLERANCE, PASSES = 5_000, 1e-5, 1_000
 #: Strength of the classifier's L2 penalty, and pseudo-counts of a confusion matrix off and on its diagonal.
 RIDGE, OFF, ON = 2.0, 0.3, 1.0
 _WORD = re.compile(r"\w+")
@@ -98,8 +102,10 @@ def _sums(kind: int, value: np.ndarray) -> pa.RecordBatch:
 
 def _added(df: DataFrame, sizes: list[int]) -> list[np.ndarray]:
     out = [np.zeros(s) for s in sizes]
-    for r in df.groupBy("kind", "i").agg(F.sum("v").alias("v")).toLocalIterator():
-        out[r["kind"]][r["i"]] = r["v"]
+    t = df.groupBy("kind", "i").agg(F.sum("v").alias("v")).toArrow()
+    kind, i, v = (t.column(c).to_numpy() for c in ("kind", "i", "v"))
+    for k in range(len(sizes)):
+        out[k][i[kind == k]] = v[kind == k]
     return out
 
 
@@ -134,57 +140,76 @@ def _items(votes: DataFrame, names: list[str], numbers: int) -> DataFrame:
     return cut(rows.mapInArrow(build, f"item {kind}, votes array<struct<a:int,l:int>>, x array<double>"))
 
 
+def _start(batches: Iterator[pa.RecordBatch], j: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Confusion counts and gradient from the majority's labels, and second moments of the features."""
+    k = CLASSES
+    conf, grad, gram = np.zeros((j, k, k)), np.zeros((d, k)), np.zeros((d, d))
+    for b in batches:
+        row, a, lab, x = _flat(b)
+        t = np.full((b.num_rows, k), 1e-9)
+        np.add.at(t, (row, lab), 1.0)
+        t /= t.sum(axis=1, keepdims=True)
+        np.add.at(conf.transpose(0, 2, 1), (a, lab), t[row])
+        grad += x.T @ (t - 1 / k)
+        gram += x.T @ x
+    return conf, grad, gram
+
+
+def _pass(batches: Iterator[pa.RecordBatch], weights: np.ndarray, log_confusion: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Confusion counts, gradient and log-likelihood under the parameters."""
+    conf, grad, ll = np.zeros_like(log_confusion), np.zeros_like(weights), np.zeros(1)
+    for b in batches:
+        row, a, lab, x = _flat(b)
+        t, prior, gained = _posterior(row, a, lab, x, weights, log_confusion)
+        np.add.at(conf.transpose(0, 2, 1), (a, lab), t[row])
+        grad += x.T @ (t - prior)
+        ll += gained
+    return conf, grad, ll
+
+
+def _confusion(conf: np.ndarray) -> np.ndarray:
+    c = conf + OFF + (ON - OFF) * np.eye(CLASSES)
+    return c / c.sum(axis=2, keepdims=True)
+
+
+def _iterate(conf: np.ndarray, grad: np.ndarray, gram: np.ndarray, weights: np.ndarray, run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Confusion, weights and confusion counts where the likelihood stands still; `run` is a pass over the items."""
+    # A bound on the curvature of the multinomial likelihood: half the second moments, for every class.
+    solve = np.linalg.inv(0.5 * gram + RIDGE * np.eye(len(gram)))
+    last = -np.inf
+    for _ in range(PASSES):
+        confusion = _confusion(conf)
+        weights = weights + solve @ (grad - RIDGE * weights)
+        conf, grad, ll = run(weights, np.log(confusion))
+        if ll[0] - last < TOLERANCE * abs(ll[0]):
+            return confusion, weights, conf
+        last = ll[0]
+    raise RuntimeError(f"no consensus after {PASSES} passes")
+
+
 def fit(items: DataFrame, names: list[str]) -> Fit:
     """The parameters, by expectation-maximisation from the majority's labels."""
     sc = items.sparkSession.sparkContext
     j, k = len(names), CLASSES
-    first = items.select(F.size("x").alias("d")).first()
-    if first is None:
+    some = items.select("votes", "x").orderBy(F.xxhash64("item"), "item").limit(START).toArrow().to_batches()
+    if not sum(b.num_rows for b in some):
         return Fit(names, np.full((j, k, k), 1 / k), np.zeros((1, k)), np.full(k, 1 / k))
-    d = first["d"]
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conf, grad, gram = np.zeros((j, k, k)), np.zeros((d, k)), np.zeros((d, d))
-        for b in batches:
-            row, a, lab, x = _flat(b)
-            t = np.full((b.num_rows, k), 1e-9)
-            np.add.at(t, (row, lab), 1.0)
-            t /= t.sum(axis=1, keepdims=True)
-            np.add.at(conf.transpose(0, 2, 1), (a, lab), t[row])
-            grad += x.T @ (t - 1 / k)
-            gram += x.T @ x
-        yield from (_sums(0, conf.ravel()), _sums(1, grad.ravel()), _sums(2, gram.ravel()))
-
+    d = next(len(b.column("x")[0]) for b in some if b.num_rows)
+    conf, grad, gram = _start(some, j, d)
+    confusion, weights, conf = _iterate(conf, grad, gram, np.zeros((d, k)), lambda w, lc: _pass(some, w, lc))
     schema = "kind int, i bigint, v double"
-    conf, grad, gram = _added(items.mapInArrow(start, schema), [j * k * k, d * k, d * d])
-    # A bound on the curvature of the multinomial likelihood: half the second moments, for every class.
-    solve = np.linalg.inv(0.5 * gram.reshape(d, d) + RIDGE * np.eye(d))
-    weights, last, total = np.zeros((d, k)), -np.inf, np.ones(k)
-    for _ in range(ITERATIONS):
-        c = conf.reshape(j, k, k)
-        total = c.sum(axis=(0, 2)) / max(c.sum(), 1e-9)
-        c = c + OFF + (ON - OFF) * np.eye(k)
-        confusion = c / c.sum(axis=2, keepdims=True)
-        weights = weights + solve @ (grad.reshape(d, k) - RIDGE * weights)
-        sent = sc.broadcast((weights, np.log(confusion)))
-
-        def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            w, lc = sent.value
-            conf, grad, ll = np.zeros((j, k, k)), np.zeros((d, k)), np.zeros(1)
-            for b in batches:
-                row, a, lab, x = _flat(b)
-                t, prior, gained = _posterior(row, a, lab, x, w, lc)
-                np.add.at(conf.transpose(0, 2, 1), (a, lab), t[row])
-                grad += x.T @ (t - prior)
-                ll += gained
-            yield from (_sums(0, conf.ravel()), _sums(1, grad.ravel()), _sums(2, ll))
-
-        conf, grad, ll = _added(items.mapInArrow(step, schema), [j * k * k, d * k, 1])
+    votes = items.select("votes", "x")
+
+    def everywhere(w: np.ndarray, lc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sent = sc.broadcast((w, lc))
+        sums = _added(votes.mapInArrow(lambda bs: (_sums(i, x.ravel()) for i, x in enumerate(_pass(bs, *sent.value))), schema), [j * k * k, d * k, 1])
         sent.unpersist()
-        if ll[0] - last < TOLERANCE * abs(ll[0]):
-            break
-        last = ll[0]
-    return Fit(names, confusion, weights, total)
+        return sums[0].reshape(j, k, k), sums[1].reshape(d, k), sums[2]
+
+    gram = _added(votes.mapInArrow(lambda bs: iter([_sums(0, _start(bs, j, d)[2].ravel())]), schema), [d * d])[0].reshape(d, d)
+    conf, grad, _ = everywhere(weights, np.log(confusion))
+    confusion, weights, conf = _iterate(conf, grad, gram, weights, everywhere)
+    return Fit(names, confusion, weights, conf.sum(axis=(0, 2)) / max(conf.sum(), 1e-9))
 
 
 def consensus(rows: DataFrame, *, item: str, annotator: str, label: str, written: str, numbers: list[str], text: str) -> tuple[DataFrame, DataFrame]:

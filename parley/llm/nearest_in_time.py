@@ -84,7 +84,7 @@ def _asof(held: list[pa.RecordBatch], tolerance: int) -> Iterator[pa.RecordBatch
     import duckdb
 
     part = pa.Table.from_batches(held)  # noqa: F841 - DuckDB reads it by name
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
     try:
         con.register("part", part)
         yield from con.sql(ASOF.format(tolerance=int(tolerance))).to_arrow_table().cast(pa.schema([("lid", pa.string()), ("rid", pa.string())])).to_batches()

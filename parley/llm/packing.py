@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from parley.sources.tables import cut
 
-#: Buckets in which the items of one length are numbered.
-BUCKETS = 256
+#: Items of one length that are numbered in one bucket, on average.
+BUCKET = 20_000
 
 
 def fullest(largest: int, counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -91,7 +91,10 @@ def pack(items: DataFrame, *, key: str, size: str, capacity: int) -> DataFrame:
             seen[length] = seen.get(length, 0) + k * times
     plan = items.sparkSession.sparkContext.broadcast({k: tuple(np.array(x, dtype=np.int64) for x in zip(*v)) for k, v in starts.items()})
 
-    b = F.pmod(F.xxhash64(key, "piece_no"), F.lit(BUCKETS)).cast("int")
+    # As many buckets for a length as its items need; a length takes one entry, at most `capacity` in all.
+    many = {k: -(-v // BUCKET) for k, v in histogram.items() if v > BUCKET}
+    width = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("n")), F.lit(1)) if many else F.lit(1)
+    b = F.pmod(F.xxhash64(key, "piece_no"), width).cast("int")
     bucketed = pieces.where("n > 0").withColumn("b", b)
     local = bucketed.withColumn("i", F.row_number().over(Window.partitionBy("n", "b").orderBy(key, "piece_no")) - 1)
     sums = bucketed.groupBy("n", "b").count().withColumn("before", F.sum("count").over(Window.partitionBy("n").orderBy("b")) - F.col("count")).select("n", "b", "before")
