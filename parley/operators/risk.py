@@ -189,10 +189,10 @@ def call_risk(sentences: DataFrame, pairs: DataFrame, shifts: DataFrame) -> Data
     )
     asked = pairs.groupBy("transcript_id").agg(F.avg("pair_risk").alias("asked"))
     j = blend.join(parts, "transcript_id").join(asked, "transcript_id", "left").join(shifts.select("transcript_id", "section_shift"), "transcript_id", "left")
-    spoken = F.round(F.coalesce("spoken", F.lit(0.0)), 2)
+    spoken = F.coalesce("spoken", F.lit(0.0))
     overall = F.least(F.lit(100.0), F.round("blend", 2) + F.least(F.coalesce("section_shift", F.lit(0.0)) * 0.1, F.lit(5.0)))
-    qa = F.when(F.col("asked").isNotNull(), 0.5 * spoken + 0.5 * F.round("asked", 2)).otherwise(spoken)
-    return j.select("transcript_id", F.col("n").cast("bigint").alias("n"), F.round(overall, 2).alias("overall"), F.round(F.coalesce("prepared", F.lit(0.0)), 2).alias("prepared"), F.round(qa, 6).alias("qa"), "worst_segment")
+    qa = F.when(F.col("asked").isNotNull(), 0.5 * spoken + 0.5 * F.col("asked")).otherwise(spoken)
+    return j.select("transcript_id", F.col("n").cast("bigint").alias("n"), F.round(overall, 2).alias("overall"), F.round(F.coalesce("prepared", F.lit(0.0)), 2).alias("prepared"), F.round(qa, 5).alias("qa"), "worst_segment")
 
 
 # Weights of hedging, evasiveness and shift in a sentence's risk.

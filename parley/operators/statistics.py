@@ -18,6 +18,16 @@ def label_right(score: Column) -> Column:
     return F.when(score <= 20, 0).when(score <= 50, 1).when(score.isNotNull(), 2)
 
 
+def label_between(score: Column, low: float, high: float) -> Column:
+    """0 to `low`, 1 to `high`, else 2, ends included; null for null."""
+    return F.when(score <= low, 0).when(score <= high, 1).when(score.isNotNull(), 2)
+
+
+def uniform(key: Column) -> Column:
+    """A number in [0, 1) that depends on the key alone: the first 32 bits of its MD5."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+
+
 def time_split(day: Column) -> Column:
     """train to the end of 2018, val to the end of 2021, test after."""
     return F.when(day <= "2018-12-31", "train").when(day <= "2021-12-31", "val").when(day.isNotNull(), "test")
@@ -25,8 +35,8 @@ def time_split(day: Column) -> Column:
 
 def synthetic_label(label: Column, key: Column, seed: int = 42) -> Column:
     """The label with noise: raised for 8 % of the keys, lowered for 7 %, within 0..2; the same for the same seed."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    return F.greatest(F.lit(0), F.least(F.lit(2), F.when(u < 0.08, label + 1).when(u < 0.15, label - 1).otherwise(label)))
+    u = uniform(F.concat_ws("|", key.cast("string"), F.lit(seed)))
+    return F.when(label.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(2), F.when(u < 0.08, label + 1).when(u < 0.15, label - 1).otherwise(label))))
 
 
 def confusion(df: DataFrame, *, truth: str, guess: str, labels: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
@@ -82,15 +92,57 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     return d.join(ranked.select(F.col(value).alias("_ranked"), rank), d[value] == F.col("_ranked")).drop("_ranked")
 
 
-#: Ranges in which distinct values are numbered.
-RANGES = 64
+#: Distinct values of a range, on average, and ranges at most: a bound on what is sent back and forth, not on values.
+RANGE_VALUES, RANGES = 200_000, 10_000
 
 
 def _range(counts: DataFrame, value: str) -> Column:
-    """The range of a value: quantiles of the distinct values, at most RANGES."""
-    cuts = counts.select(F.percentile_approx(F.col(value).cast("double"), [i / RANGES for i in range(1, RANGES)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    return F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, c: n + F.when(F.col(value) > c, 1).otherwise(0)) if cuts else F.lit(0)
+    """The range of a value: quantiles of the distinct values, as many as these need."""
+    n = min(RANGES, max(1, -(-counts.count() // RANGE_VALUES)))
+    if n == 1:
+        return F.lit(0)
+    cuts = sorted(set(counts.select(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], 10 * n)).first()[0] or []))
+    return F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda k, c: k + F.when(F.col(value) > c, 1).otherwise(0))
+
+
+def correlation_p(r: float | None, n: int) -> float | None:
+    """Two-sided p of a correlation of n pairs by Student's t; null below 5 pairs or without r, 0 where |r| is 1."""
+    if r is None or n < 5:
+        return None
+    return 0.0 if abs(r) >= 1 else student_p(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+
+def resampled(df: DataFrame, x: str, y: str, *, ranks: bool = False, resamples: int = 2000, seed: int = 42, blocks: int = 1000) -> tuple[float, float] | None:
+    """The 2.5 and 97.5 percentiles of the correlation over resamples of blocks of rows; null below 5 rows.
+
+    Rows fall into `blocks` blocks by hash, whose moments are added up in one pass; resamples draw blocks, so what
+    reaches the driver is `blocks` rows however many there are. Below `blocks` rows about every row is a block of its own.
+    """
+    import numpy as np
+
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    if ranks:
+        both = average_ranks(average_ranks(both, "x", "rx"), "y", "ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
+    b = F.pmod(F.xxhash64("x", "y", F.monotonically_increasing_id()), F.lit(blocks))
+    one = lambda c: F.sum(c)
+    rows = both.groupBy(b.alias("b")).agg(F.count(F.lit(1)).cast("double"), one("x"), one("y"), one(F.col("x") * F.col("x")), one(F.col("y") * F.col("y")), one(F.col("x") * F.col("y"))).collect()
+    m = np.array([list(r)[1:] for r in rows])
+    if not len(m) or m[:, 0].sum() < 5:
+        return None
+    draws = np.random.default_rng(seed).multinomial(len(m), np.full(len(m), 1 / len(m)), size=resamples) @ m
+    n, sx, sy, xx, yy, xy = draws.T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        r = (n * xy - sx * sy) / np.sqrt((n * xx - sx**2) * (n * yy - sy**2))
+    r = r[np.isfinite(r)]
+    return (float(np.percentile(r, 2.5)), float(np.percentile(r, 97.5))) if len(r) else None
+
+
+def correlation(df: DataFrame, x: str, y: str, *, ranks: bool = False) -> DataFrame:
+    """One row: n, r (of ranks: Spearman's), p, low, high of two columns over the rows that have both."""
+    row = (spearman(df, x, y).withColumnRenamed("rho", "r") if ranks else pearson(df, [x], [y])).first()
+    ends = resampled(df, x, y, ranks=ranks) if row["r"] is not None else None
+    low, high = ends or (None, None)
+    return df.sparkSession.createDataFrame([(row["n"], row["r"], correlation_p(row["r"], row["n"]), low, high)], "n bigint, r double, p double, low double, high double")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -191,6 +243,25 @@ def group_compare(df: DataFrame, *, group: str, value: str) -> DataFrame:
     return s.withColumns({"u": u, "z": F.try_divide(u - nn / 2, F.sqrt(var))}).drop("_rs", "_n")
 
 
+def with_p(compared: DataFrame) -> DataFrame:
+    """`compared` with p, two-sided, of its column z by the normal distribution; null for null."""
+    p = [(r["z"], None if r["z"] is None else normal_p(r["z"])) for r in compared.select("z").collect()]  # one row
+    z, value = p[0] if p else (None, None)
+    return compared.withColumn("p", F.lit(value).cast("double"))
+
+
+def outcome_compare(df: DataFrame, *, by: str, value: str, least: int = 3) -> DataFrame:
+    """One row: n, mean and median of `value` where `by` is above and below its median, U, z, p and a note.
+
+    With fewer than `least` values on a side, the note says so and the figures of the test are null.
+    """
+    middle = df.agg(F.median(F.col(by).cast("double"))).first()[0]
+    side = F.when(F.col(by).cast("double") > F.lit(middle), True).when(F.col(by).cast("double") <= F.lit(middle), False)
+    m = with_p(group_compare(df.withColumn("_side", side), group="_side", value=value))
+    few = (F.col("n_high") < least) | (F.col("n_low") < least)
+    return m.select("n_high", "mean_high", "median_high", "n_low", "mean_low", "median_low", *[F.when(~few, F.col(c)).alias(c) for c in ("u", "z", "p")], F.when(few, "too few values").alias("note"))
+
+
 def quartile_compare(df: DataFrame, *, by: str, value: str) -> DataFrame:
     """group_compare of the rows at or above the upper quartile of `by` with those at or below the lower one."""
     q = df.agg(F.percentile(F.col(by).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))).first()[0]
@@ -219,7 +290,7 @@ def descriptives(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.array(*per).alias("a")).select(F.inline("a"))
 
 
-def bootstrap_macro_f1(df: DataFrame, *, truth: str, guess: str, resamples: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_macro_f1(df: DataFrame, *, truth: str, guess: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
     """One row: macro F1 of the labels 0..2 and its 2.5 and 97.5 percentiles over resamples.
 
     Resamples are drawn from the nine counts of the confusion matrix, which is the same as drawing rows, by numpy.

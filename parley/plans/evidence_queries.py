@@ -12,8 +12,8 @@ from parley.operators.latest import latest_per_key, or_prefix
 from parley.operators.market import abnormal, latest_within, reaction
 from parley.operators.risk import hedging
 from parley.operators.statistics import (
-    average_ranks, bootstrap_macro_f1, class_measures, cohens_kappa, confusion, descriptives, group_compare, label_left, label_right, least_squares, overall_measures, pearson, quartile_compare, signed_rank, spearman,
-    synthetic_label, time_split,
+    average_ranks, bootstrap_macro_f1, class_measures, cohens_kappa, confusion, correlation, descriptives, group_compare, label_left, label_right, least_squares, outcome_compare, overall_measures, pearson, quartile_compare, signed_rank, spearman,
+    time_split,
 )
 from parley.plans.base import SENTENCES, days, pairs, sentences
 from parley.plans.sql_text import ORACLE_CALLS, oracle_evidence
@@ -166,9 +166,16 @@ def label_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def synthetic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _measures(spark, sf_dir)
-    return m.select("qa_id", label_left(F.col("evasive")).alias("label"), synthetic_label(label_left(F.col("evasive")), F.col("qa_id")).alias("noisy"))
+def score_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pearson's and Spearman's correlation of evasiveness and label, with p and resampled interval."""
+    v = _labelled(spark, sf_dir)
+    rows = [correlation(v, "evasive", "label", ranks=k).withColumn("kind", F.lit(n)) for n, k in (("pearson", False), ("spearman", True))]
+    return rows[0].unionByName(rows[1])
+
+
+def score_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of pairs above and below the median of evasiveness, with the rank test and its p."""
+    return outcome_compare(_labelled(spark, sf_dir), by="evasive", value="label")
 
 
 def macro_f1_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +297,7 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    evidence_categories, evidence_sources, leak_audit, verdicts, verdict_shares, series_reaction, series_abnormal, latest_fact, label_matrix, label_measures, label_overall, annotator_kappa, label_splits, synthetic_labels,
+    evidence_categories, evidence_sources, leak_audit, verdicts, verdict_shares, series_reaction, series_abnormal, latest_fact, label_matrix, label_measures, label_overall, annotator_kappa, label_splits, score_evidence, score_outcomes,
     macro_f1_interval, score_correlations, score_spearman, score_ranks, score_regression, score_quartiles, score_groups, paired_ranks, score_descriptives, tickers, calls_with_scores, company_rollup, latest_calls,
     status_shares, section_roles, riskiest_sentences, searched_calls, calls_between, unscored_pairs, top_evidence, table_counts,
 )}
@@ -355,6 +362,13 @@ SELECT n, round(po, 6) AS observed, round(pe, 6) AS expected, round((po - pe) /
     "score_regression": f"""
 WITH {_M}, b AS (SELECT label::DOUBLE AS y, evasive AS x FROM one WHERE evasive IS NOT NULL)
 SELECT 'intercept' AS term, round(regr_intercept(y, x), 6) AS estimate, round(regr_r2(y, x), 6) AS r_squared FROM b UNION ALL SELECT 'evasive', round(regr_slope(y, x), 6), round(regr_r2(y, x), 6) FROM b""",
+    "score_quartiles": f"""
+WITH {_M}, q AS (SELECT quantile_cont(evasive::DOUBLE, 0.25) AS lo, quantile_cont(evasive::DOUBLE, 0.75) AS hi FROM one), b AS (SELECT CASE WHEN evasive >= hi THEN true WHEN evasive <= lo THEN false END AS g, label::DOUBLE AS v FROM one, q),
+r AS (SELECT g, v, {_AVG_RANK.format(x='v')} AS r FROM b WHERE g IS NOT NULL),
+s AS (SELECT count(*) FILTER (g) AS n_high, avg(v) FILTER (g) AS mean_high, median(v) FILTER (g) AS median_high, stddev_pop(v) FILTER (g) AS std_high, count(*) FILTER (NOT g) AS n_low, avg(v) FILTER (NOT g) AS mean_low, median(v) FILTER (NOT g) AS median_low,
+  stddev_pop(v) FILTER (NOT g) AS std_low, count(*) AS n, sum(r) FILTER (g) - count(*) FILTER (g) * (count(*) FILTER (g) + 1) / 2.0::DOUBLE AS u FROM r), t AS (SELECT sum(c ^ 3 - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY v))
+SELECT round(n_high::DOUBLE, 6) AS n_high, round(mean_high, 6) AS mean_high, round(median_high, 6) AS median_high, round(std_high, 6) AS std_high, round(n_low::DOUBLE, 6) AS n_low, round(mean_low, 6) AS mean_low, round(median_low, 6) AS median_low, round(std_low, 6) AS std_low,
+  round(u, 6) AS u, round((u - n_high * n_low / 2.0::DOUBLE) / sqrt(n_high * n_low / 12.0::DOUBLE * (n + 1 - t / (n * (n - 1)))), 6) AS z FROM s, t""",
     "score_descriptives": f"WITH {_M} " + " UNION ALL ".join(
         f"SELECT '{c}' AS name, count({c}) AS n, round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min, round(max({c}), 6) AS max, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75 FROM m"
         for c in ("evasive", "hedging", "risk")

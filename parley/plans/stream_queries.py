@@ -14,7 +14,7 @@ from parley.streaming.ingest import event_windows
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by kind and day, from a stream; its state and result lie in the shared folder."""
     at = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    return event_windows(spark, sf_dir, f"{at}/out", f"{at}/state").select("kind", "start", "n", F.round("total", 4).alias("total"))
+    return event_windows(spark, sf_dir, f"{at}/out", f"{at}/state", close=True).select("kind", "start", "n", F.round("total", 4).alias("total"))
 
 
 QUERIES = {"stream_windows": stream_windows}

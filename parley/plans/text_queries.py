@@ -360,9 +360,9 @@ SELECT transcript_id, n, round(mean, 6) AS mean, round(top_mean, 6) AS top_mean,
     "risk_of_pairs": f"WITH RECURSIVE {_RISK} SELECT qa_id, pair_risk FROM pr",
     "risk_overall": f"""
 WITH RECURSIVE {_RISK}, {_top("transcript_id")},
-pt AS (SELECT transcript_id, round(avg(pair_risk), 2) AS asked FROM pr GROUP BY transcript_id),
-b AS (SELECT transcript_id, round(coalesce(avg(risk) FILTER (section IN ('prepared_remarks', 'opening')), 0), 2) AS prepared, round(coalesce(avg(risk) FILTER (section = 'q_and_a'), 0), 2) AS spoken, max_by(segment_id, (risk, -segment_order, -sentence_number)) AS worst_segment FROM k GROUP BY transcript_id),
-o AS (SELECT transcript_id, n, round(least(100, round(blend, 2) + least(coalesce(section_shift, 0) * 0.1::DOUBLE, 5)), 2) AS overall, prepared, round(CASE WHEN asked IS NOT NULL THEN 0.5::DOUBLE * spoken + 0.5::DOUBLE * asked ELSE spoken END, 6) AS qa, worst_segment
+pt AS (SELECT transcript_id, avg(pair_risk) AS asked FROM pr GROUP BY transcript_id),
+b AS (SELECT transcript_id, round(coalesce(avg(risk) FILTER (section IN ('prepared_remarks', 'opening')), 0), 2) AS prepared, coalesce(avg(risk) FILTER (section = 'q_and_a'), 0) AS spoken, max_by(segment_id, (risk, -segment_order, -sentence_number)) AS worst_segment FROM k GROUP BY transcript_id),
+o AS (SELECT transcript_id, n, round(least(100, round(blend, 2) + least(coalesce(section_shift, 0) * 0.1::DOUBLE, 5)), 2) AS overall, prepared, round(CASE WHEN asked IS NOT NULL THEN 0.5::DOUBLE * spoken + 0.5::DOUBLE * asked ELSE spoken END, 5) AS qa, worst_segment
   FROM tr JOIN b USING (transcript_id) LEFT JOIN pt USING (transcript_id) LEFT JOIN ss USING (transcript_id))
 SELECT *, CASE WHEN overall >= 70 THEN 'critical' WHEN overall >= 40 THEN 'high' WHEN overall >= 20 THEN 'moderate' ELSE 'low' END AS band FROM o""",
     "risk_factors": f"""

@@ -34,12 +34,15 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_transcripts(spark: SparkSession, source: str, path: str, limit: int | None = None) -> DataFrame:
-    """Records of a source (export, jsonl or json); another name raises ValueError. The limit counts source records."""
+    """Records of a source (export, jsonl or json); another name raises ValueError. The limit counts source records.
+
+    It takes the first ones in the order of the source's files and needs no sort.
+    """
     readers = {"export": read_export, "jsonl": read_jsonl, "json": read_json}
     if source not in readers:
         raise ValueError(f"unknown source {source!r}; known are {sorted(readers)}")
     df = readers[source](spark, path)
-    return df if limit is None else df.orderBy("symbol", "date").limit(limit)
+    return df if limit is None else df.limit(limit)
 
 
 ANNOTATION_COLUMNS = [
@@ -108,18 +111,29 @@ def reported_fact(facts: DataFrame, *, key: str, concepts: list[str], target: Co
 def outcome(facts: DataFrame, *, key: str, concept: str, as_of: Column, lookback: int = 120, unit: str = "USD") -> DataFrame:
     """key, value in millions of the latest fact that ended (or was filed) on or before a day, at most so long ago.
 
-    Facts with a frame are left out, as they repeat others.
+    Facts with a frame are left out, as they repeat others; so are those marked as accruals or preferred stock.
     """
     day = F.coalesce("end", "filed")
-    seen = facts.where((F.col("concept") == concept) & (F.col("unit") == unit) & F.col("frame").isNull() & day.between(F.date_sub(as_of, lookback), as_of))
+    seen = facts.where((F.col("concept") == concept) & (F.col("unit") == unit) & F.col("frame").isNull() & ~F.coalesce(F.lower("form").rlike("accrual|preferred"), F.lit(False)) & day.between(F.date_sub(as_of, lookback), as_of))
     return seen.groupBy(key).agg((F.max_by("val", F.struct(day, -F.col("position"))) / 1e6).alias("value"))
 
 
-def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """ticker, date, close of price files; further columns are left out, days without a close too."""
+def read_prices(spark: SparkSession, path: str, events: DataFrame | None = None, days: int = 60) -> DataFrame:
+    """ticker, date, open, high, low, close, volume of price files; days without a close are left out.
+
+    With `events` (ticker, event_day) just the days within `days` of an event of the ticker, each once. Columns that the
+    files don't have are null.
+    """
     df = spark.read.parquet(path)
     low = {c.lower(): c for c in df.columns}
-    return df.select(F.upper(F.col(low["ticker"])).alias("ticker"), F.to_date(F.col(low["date"])).alias("date"), F.col(low["close"]).cast("double").alias("close")).where("close is not null")
+    of = lambda c, kind: (F.col(low[c]) if c in low else F.lit(None)).cast(kind).alias(c)
+    prices = df.select(F.upper(F.col(low["ticker"])).alias("ticker"), F.to_date(F.col(low["date"])).alias("date"), *[of(c, "double") for c in ("open", "high", "low", "close")], of("volume", "bigint")).where("close is not null")
+    if events is None:
+        return prices
+    from parley.operators.claims import within_days
+
+    met = within_days(events.select("ticker", "event_day").distinct(), prices.withColumnRenamed("date", "day"), entity="ticker", left_day="event_day", right_day="day", before=days, after=days)
+    return met.drop("event_day").withColumnRenamed("day", "date").distinct()
 
 
 def read_news(spark: SparkSession, path: str) -> DataFrame:

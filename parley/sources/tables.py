@@ -12,11 +12,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def width(spark: SparkSession) -> int:
-    """Partitions for work in Python: all cores, and as many as a shuffle has, however few bytes there are."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """A scanned table in at least as many partitions as there are cores; one that has them is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -24,14 +19,20 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; only where none is set (tests), a temporary one."""
+    """The shared checkpoint folder: the session's, or the one that spark.checkpoint.dir names.
+
+    Where none is named a session of one machine (master local) has a folder of its own there; any other is an error,
+    since a machine's folder doesn't survive its loss.
+    """
     sc = spark.sparkContext
     where = sc._jsc.sc().getCheckpointDir()
     if where.isDefined():
         return where.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parley-checkpoint-")
-    sc.setCheckpointDir(path)
-    return path
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="parley-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:

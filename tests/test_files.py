@@ -1,6 +1,7 @@
 """Sources, sinks, streams and the entry module, on small files."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,3 +104,34 @@ def test_the_entry_module_names_what_runs():
 
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and "p4_found" in q and len(q) > 50
+
+
+def test_late_ids_malformed_lines_and_repeated_batches(spark, tmp_path):
+    inbox, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    record = lambda day, **kw: json.dumps({"symbol": "abc", "year": "2020", "quarter": "1", "date": day, "content": "Hi: there"} | kw)
+    (tmp_path / "in" / "a.json").write_text(record("2020-01-01") + "\n{not json\n" + record("2020-01-02", year="1989") + "\n")
+    ig.ingest_new_files(spark, inbox, out, state)
+    # A later file brings an id again, and a new one.
+    (tmp_path / "in" / "b.json").write_text(record("2020-01-01") + "\n" + record("2020-02-01") + "\n")
+    for _ in range(2):
+        ig.ingest_new_files(spark, inbox, out, state)
+        assert sorted(r.transcript_id for r in spark.read.parquet(f"{out}/valid").collect()) == ["ABC_2020_Q1_2020-01-01", "ABC_2020_Q1_2020-02-01"]
+        assert sorted(r.error for r in spark.read.parquet(f"{out}/quarantine").collect()) == ["invalid year", "malformed line"]
+    # The whole stream again from its start, as after a lost state: ids stay single, batches are replaced.
+    ig.ingest_new_files(spark, inbox, out, str(tmp_path / "other"))
+    assert spark.read.parquet(f"{out}/valid").groupBy("transcript_id").count().where("count > 1").count() == 0
+
+
+def test_late_events_are_dropped_and_windows_written_once(spark, tmp_path):
+    folder, out, state = (str(tmp_path / x) for x in ("ev", "out", "state"))
+    put = lambda name, rows: spark.createDataFrame(rows, "ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(f"{folder}/{name}")
+    at = lambda d, h=0: datetime(2020, 1, d, h)
+    got = lambda **kw: sorted((r.start.day, r.n) for r in ig.event_windows(spark, f"{folder}/*", out, state, pattern="*.parquet", **kw).collect())
+    put("one", [(at(1), "a", 1.0), (at(1, 5), "a", 1.0), (at(2), "a", 1.0), (at(20), "a", 1.0)])
+    assert got() == [(1, 2), (2, 1)]
+    # The watermark stands at day 13: day 1 is closed and drops what comes late, day 15 is open.
+    put("two", [(at(1, 7), "a", 1.0), (at(15), "a", 1.0), (at(30), "a", 1.0)])
+    assert got() == [(1, 2), (2, 1), (15, 1), (20, 1)]
+    assert got() == [(1, 2), (2, 1), (15, 1), (20, 1)]
+    assert (30, 1) in got(close=True)
