@@ -26,7 +26,7 @@ def _r(c: str, n: int = 6) -> F.Column:
 
 def call_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per call: overall, average, hedging, evasiveness, tone shift, prepared and qa risk."""
-    s, e = tx._risky(spark, sf_dir)
+    s, e = tx._risky(spark, sf_dir, once=True)
     shifts = section_shift(s, group="transcript_id", section="section", value="negative")
     r = call_risk(s, pair_risk(e, s), shifts)
     means = s.groupBy("transcript_id").agg(F.avg("risk").alias("average"), F.avg("hedging_score").alias("hedging"), F.avg("shift_score").alias("tone_shift"))

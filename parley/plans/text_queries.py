@@ -14,7 +14,7 @@ from parley.operators.risk import call_risk, combined_risk, contributing_factors
 from parley.operators.segments import call_segments, ingest_status, match_questions, sentence_rows, with_sections
 from parley.operators.sentiment import lexicon_sentiment
 from parley.plans.base import PAIRS, SEGMENTS, SENTENCES, pairs, segments, sentences
-from parley.sources.tables import table
+from parley.sources.tables import cut, table
 
 
 def _r(c: str, n: int = 6) -> F.Column:
@@ -101,9 +101,12 @@ def risk_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("segment_id", F.col("n").cast("bigint").alias("n"), _r("blend"))
 
 
-def _risky(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _risky(spark: SparkSession, sf_dir: str, *, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """Sentences with risk and shift_score, and pairs with evasive_score.
 
+    With `once` both are written to the shared folder, the sentences without their text, for queries that go over them
+    several times; else they are worked out where they are used.
+
     A pair's answer counts with the hedge density of the first sentence of its first segment; its score goes to the
     sentences of that segment, of several pairs the last.
     """
@@ -111,9 +114,13 @@ def _risky(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     first = first_density(hedging(sentences(spark, sf_dir, "sentence_id", "segment_id", "sentence_number", "text"), "text"))
     m = match_questions(segments(spark, sf_dir)).join(first.withColumnRenamed("segment_id", "answer_segment_id"), "answer_segment_id", "left")
     e = evasiveness(m, key="qa_id", question="question_text", answer="answer_text", density="first_density", keep=("transcript_id", "answer_segment_id", "sequence"))
+    if once:
+        e = cut(e.select("qa_id", "transcript_id", "answer_segment_id", "sequence", "evasive_score"))
+        s = s.select("sentence_id", "segment_id", "transcript_id", "segment_order", "sentence_number", "section", "hedging_score", "shift_score", "negative")
     last = e.groupBy(F.col("answer_segment_id").alias("segment_id")).agg(F.max_by("evasive_score", "sequence").alias("evasive"))
     j = s.join(last, "segment_id", "left").withColumn("evasive", F.coalesce("evasive", F.lit(0.0)))
-    return j.withColumn("risk", combined_risk(F.col("hedging_score"), F.col("evasive"), F.col("shift_score"))), e
+    risky = j.withColumn("risk", combined_risk(F.col("hedging_score"), F.col("evasive"), F.col("shift_score")))
+    return (cut(risky) if once else risky), e
 
 
 def risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,13 +136,13 @@ def segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def risk_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, e = _risky(spark, sf_dir)
+    s, e = _risky(spark, sf_dir, once=True)
     return pair_risk(e, s).select("qa_id", "pair_risk")
 
 
 def risk_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of a call: overall, prepared, qa, band and the worst segment."""
-    s, e = _risky(spark, sf_dir)
+    s, e = _risky(spark, sf_dir, once=True)
     shifts = section_shift(s, group="transcript_id", section="section", value="negative")
     r = call_risk(s, pair_risk(e, s), shifts)
     return r.withColumn("band", risk_band(F.col("overall")))
