@@ -75,7 +75,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = normalized(extract_claims(sentences(spark, sf_dir)), text="claim_text", default="claim_type")
     # What is held against evidence goes along, so that pairs are rated and summed where they arise.
     v = verify(c, _links(spark, sf_dir, told(c, "transcript_id")))
-    return v.select("claim_id", "status", "n_evidence", _r("support", 4), _r("contradiction", 4), _r("confidence", 4))
+    return v.select("claim_id", "status", "n_evidence", _r("support", 7), _r("contradiction", 7), _r("confidence", 7))
 
 
 def verdict_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

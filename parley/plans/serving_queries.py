@@ -126,7 +126,7 @@ def verdicts_by_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ticker, call_day, status, claims and their mean confidence."""
     c = extract_claims(sentences(spark, sf_dir)).select("claim_id", "transcript_id")
     j = ev.verdicts(spark, sf_dir).join(c, "claim_id").join(days(spark, sf_dir), "transcript_id")
-    return j.groupBy("ticker", "call_day", "status").agg(F.count(F.lit(1)).alias("n_claims"))
+    return j.groupBy("ticker", "call_day", "status").agg(F.count(F.lit(1)).alias("n_claims"), F.round(F.avg("confidence"), 7).alias("confidence"))
 
 
 def verdict_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 from parley.plans.evidence_queries import _EV, _FULL, _M, _VALID, _reaction  # noqa: E402
-from parley.plans.text_queries import _CLAIM, _RISK, _list, _top  # noqa: E402
+from parley.plans.text_queries import _CLAIM, _RISK, _VALUED, _list, _top  # noqa: E402
 
 _CS = f"""{_top("transcript_id")}, pt AS (SELECT transcript_id, avg(pair_risk) AS asked FROM pr GROUP BY transcript_id), et AS (SELECT transcript_id, avg(evasive_score) AS evasiveness FROM ev GROUP BY transcript_id),
 b AS (SELECT transcript_id, round(coalesce(avg(risk) FILTER (section IN ('prepared_remarks', 'opening')), 0), 2) AS prepared, coalesce(avg(risk) FILTER (section = 'q_and_a'), 0) AS spoken, avg(risk) AS average, avg(hedging_score) AS hedging, avg(shift_score) AS tone_shift FROM k GROUP BY transcript_id),
@@ -243,6 +243,32 @@ def _between(x: str, low: int, high: int) -> str:
 
 
 _T = _list(TICKERS)
+_IDF = "power(1 + ln(1.5::DOUBLE), 2)"
+
+
+def _weights(key: str, text: str, source: str) -> str:
+    """Words of a text, stop words left out, with 1 + ln(count)."""
+    return f"SELECT {key}, term, 1 + ln(count(*)) AS w FROM (SELECT {key}, unnest(list_filter(regexp_extract_all(lower({text}), '[\\pL\\pN_]{{2,}}'), lambda x: NOT list_contains({_list(tx.lx.STOP_WORDS)}, x))) AS term FROM {source}) GROUP BY ALL"
+
+
+_VERDICTS = f"""{_LINK}, {_VALUED}, es AS (SELECT evidence_id, concat_ws(' ', title, text) AS said FROM e WHERE evidence_id IN (SELECT evidence_id FROM links)),
+sg AS (SELECT evidence_id, list_filter(list_transform(regexp_extract_all(said, '[-+]?\\d+[\\.,]?\\d*'), lambda x: try_cast(replace(x, ',', '') AS DOUBLE)), lambda x: x IS NOT NULL) AS numbers, regexp_matches(lower(said), {tx._q(tx.lx.POSITIVE)}) AS pos, regexp_matches(lower(said), {tx._q(tx.lx.NEGATIVE_SIGNS)}) AS neg FROM es),
+ct AS ({_weights("claim_id", "claim_text", "c")}), et AS ({_weights("evidence_id", "said", "es")}),
+cn AS (SELECT claim_id, sum(w * w) AS t FROM ct GROUP BY claim_id), en AS (SELECT evidence_id, sum(w * w) AS t FROM et GROUP BY evidence_id),
+ps AS (SELECT l.claim_id, l.evidence_id, sum(c.w * e.w) AS d, sum(c.w * c.w) AS sl, sum(e.w * e.w) AS sr FROM links l JOIN ct c ON c.claim_id = l.claim_id JOIN et e ON e.evidence_id = l.evidence_id AND e.term = c.term GROUP BY ALL),
+y0 AS (SELECT l.*, n.value, n.direction, numbers, pos, neg, l.source_type = 'sec' AS filing, list_min(list_transform(numbers, lambda x: abs(x - n.value) / abs(n.value))) AS apart,
+  coalesce(d / (sqrt({_IDF} * cn.t + (1 - {_IDF}) * sl) * sqrt({_IDF} * en.t + (1 - {_IDF}) * sr)), 0) AS likeness
+  FROM links l JOIN n USING (claim_id) JOIN sg USING (evidence_id) LEFT JOIN ps ON ps.claim_id = l.claim_id AND ps.evidence_id = l.evidence_id LEFT JOIN cn ON cn.claim_id = l.claim_id LEFT JOIN en ON en.evidence_id = l.evidence_id),
+y1 AS (SELECT *, CASE WHEN value IS NULL OR len(numbers) = 0 THEN NULL WHEN value = 0 OR apart > 0.5 THEN 0 WHEN apart <= 0.1 THEN 1 WHEN apart <= 0.25 THEN 0.5 ELSE 0.2 END::DOUBLE AS near,
+  CASE WHEN direction IN ('increase', 'grow') THEN CASE WHEN pos AND NOT neg THEN 1 WHEN neg AND NOT pos THEN 0 ELSE 0.5 END WHEN direction = 'decrease' THEN CASE WHEN neg AND NOT pos THEN 1 WHEN pos AND NOT neg THEN 0 ELSE 0.5 END WHEN direction = 'flat' THEN CASE WHEN NOT pos AND NOT neg THEN 1 ELSE 0.5 END END::DOUBLE AS way,
+  CASE WHEN filing THEN 1 WHEN authority_score >= 0.7 THEN 0.75 WHEN authority_score >= 0.45 THEN 0.5 ELSE 0.25 END::DOUBLE AS w FROM y0),
+y2 AS (SELECT *, CASE WHEN NOT filing AND likeness >= 0.2 THEN CASE WHEN way IS NOT NULL THEN (likeness + way) / 2 ELSE likeness END END AS news FROM y1),
+y3 AS (SELECT *, CASE WHEN filing AND near IS NOT NULL THEN CASE WHEN near >= 0.8 THEN near WHEN near >= 0.4 THEN 0.5 ELSE 0 END WHEN filing AND way IS NOT NULL THEN CASE WHEN way >= 0.8 THEN way WHEN way <= 0.2 THEN 0 ELSE 0.4 END WHEN filing THEN CASE WHEN likeness >= 0.3 THEN likeness ELSE 0 END WHEN news >= 0.5 THEN news WHEN news >= 0.25 THEN 0.4 ELSE 0 END::DOUBLE AS sup,
+  CASE WHEN filing AND near IS NOT NULL THEN CASE WHEN near >= 0.8 THEN 0 WHEN near >= 0.4 THEN 0.3 ELSE 1 END WHEN filing THEN CASE WHEN way <= 0.2 THEN 1 ELSE 0 END WHEN news < 0.5 AND news >= 0.25 THEN 0.2 ELSE 0 END::DOUBLE AS con, CASE WHEN filing OR news IS NOT NULL THEN w ELSE 0 END AS counted FROM y2),
+ag AS (SELECT claim_id, count(*) AS n_evidence, sum(sup * w) / nullif(sum(counted), 0) AS sup, sum(con * w) / nullif(sum(counted), 0) AS con FROM y3 GROUP BY claim_id),
+vd AS (SELECT c.claim_id, c.transcript_id, coalesce(n_evidence, 0) AS n_evidence, coalesce(sup, 0) AS support, coalesce(con, 0) AS contradiction FROM c LEFT JOIN ag USING (claim_id)),
+vs AS (SELECT *, CASE WHEN n_evidence = 0 THEN 'NOT_VERIFIABLE' WHEN support >= 0.6 AND contradiction < 0.2 THEN 'SUPPORTED' WHEN contradiction >= 0.6 AND support < 0.2 THEN 'CONTRADICTED' WHEN support >= 0.3 OR contradiction >= 0.3 THEN 'PARTIALLY_SUPPORTED' ELSE 'NOT_VERIFIABLE' END AS status FROM vd),
+vf AS (SELECT *, CASE WHEN n_evidence = 0 THEN 0.2 WHEN status = 'SUPPORTED' THEN least(0.5 + support * 0.5, 0.95) WHEN status = 'CONTRADICTED' THEN least(0.5 + contradiction * 0.5, 0.95) WHEN status = 'PARTIALLY_SUPPORTED' THEN 0.45 + abs(support - contradiction) * 0.3 ELSE 0.25 END::DOUBLE AS confidence FROM vs)"""
 ORACLES = {
     "call_scores": f"{_SCORED} SELECT * FROM cs",
     "company_scores": f"{_SCORED}, {_VALID} SELECT ticker, company_name, count(DISTINCT transcript_id) AS calls, round(avg(overall), 5) AS avg_overall, round(avg(hedging), 5) AS avg_hedging, round(avg(evasiveness), 5) AS avg_evasiveness, round(avg(tone_shift), 5) AS avg_tone_shift FROM v LEFT JOIN cs USING (transcript_id) GROUP BY ALL",
@@ -255,6 +281,10 @@ ORACLES = {
     "section_averages": f"WITH RECURSIVE {_RISK} SELECT section, count(*) AS n, round(avg(hedging_score), 5) AS hedging, round(avg(risk), 5) AS risk FROM k GROUP BY section",
     "evidence_of_claims": f"WITH {_LINK} SELECT claim_id, CAST(place AS INTEGER) AS place, evidence_id, round(authority_score, 6) AS authority_score FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY authority_score DESC NULLS LAST, evidence_id) AS place FROM links) WHERE place <= 10",
     "evidence_by_claim": f"WITH {_LINK}, r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY authority_score DESC NULLS LAST, evidence_id) AS place FROM links) SELECT claim_id, count(*) AS n, round(max(authority_score), 6) AS authority, string_agg(evidence_id, ',' ORDER BY place) FILTER (place <= 3) AS first_ids FROM r GROUP BY claim_id",
+    "verdicts": f"WITH {_VERDICTS} SELECT claim_id, status, n_evidence, round(support, 7) AS support, round(contradiction, 7) AS contradiction, round(confidence, 7) AS confidence FROM vf",
+    "verdict_shares": f"WITH {_VERDICTS} SELECT status, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER ()::DOUBLE, 4) AS share FROM vf GROUP BY status",
+    "verdicts_of_claims": f"WITH {_VERDICTS}, {_VALID} SELECT claim_id, status, n_evidence FROM vf JOIN v USING (transcript_id) WHERE list_contains({_T}, v.ticker)",
+    "verdicts_by_call": f"WITH {_VERDICTS} SELECT ticker, call_day, status, count(*) AS n_claims, round(avg(confidence), 7) AS confidence FROM vf JOIN cd USING (transcript_id) GROUP BY ALL",
     "call_reactions": f"WITH {_D}, {_REACTED} SELECT * FROM rx",
     "price_changes": f"WITH {_D}, s AS ({_VALUES}), x AS (SELECT * FROM {_reaction(_VALUES, _CALL_EVENTS)}) SELECT transcript_id, round(CASE WHEN ok THEN x.bv END, 6) AS before, round(CASE WHEN ok THEN a.value END, 6) AS after, round(CASE WHEN ok THEN (a.value - x.bv) / x.bv END * 100, 4) AS change FROM cd JOIN x ON cd.ticker = x.ticker AND cd.call_day = x.event_day LEFT JOIN s a ON a.ticker = x.ticker AND a.day = x.ad",
     "event_timeline": f"WITH {_D}, {_E} SELECT ticker, call_day AS day, 'call' AS kind, transcript_id AS id FROM cd WHERE list_contains({_T}, ticker) UNION ALL SELECT ticker, published, filing_type, evidence_id FROM e WHERE list_contains({_T}, ticker) AND filing_type IN ('10-K', '10-Q', '8-K')",

@@ -302,6 +302,11 @@ sides AS (SELECT f.transcript_id, pair, min_by(segment_id, s.i) FILTER (part = '
 qa AS (SELECT format('{{}}_qa_{{:03d}}', transcript_id, row_number() OVER (PARTITION BY transcript_id ORDER BY pair) - 1) AS qa_id, transcript_id, question_segment_id, answer_segment_id, question_text, answer_text
   FROM sides WHERE length(question_text) >= 20 AND length(answer_text) >= 20)"""
 
+#: The values of the claims.
+_VALUED = f"""n0 AS (SELECT claim_id, transcript_id, claim_text, direction, {_case("claim_text", lx.METRICS, "claim_type")} AS metric, coalesce({_num(_ex(lx.RANGE_PERCENT, 1))}, {_num(_ex(lx.RANGE_PERCENT, 3))}) AS lo, coalesce({_num(_ex(lx.RANGE_PERCENT, 2))}, {_num(_ex(lx.RANGE_PERCENT, 4))}) AS hi,
+  {_num(_ex(lx.BASIS_POINTS, 1))} AS bp, {_num(_ex(lx.PERCENT, 1))} AS pc, {_num(_ex(lx.DOLLARS, 1))} AS usd, lower({_ex(lx.DOLLARS, 2)}) AS mag, {_case("claim_text", lx.PERIODS, "'unspecified_period'")} AS period, {_case("claim_text", lx.PLACES, "NULL")} AS geography FROM c),
+n AS (SELECT *, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (lo + hi) / 2 WHEN bp IS NOT NULL THEN bp WHEN pc IS NOT NULL THEN pc ELSE usd * CASE WHEN mag IN ('billion', 'b') THEN 1e9 WHEN mag IN ('million', 'm') THEN 1e6 WHEN mag IN ('thousand', 'k') THEN 1e3 ELSE 1 END END AS value FROM n0)"""
+
 #: Tone by the word lists, its windows and sections, each from its definition.
 _TONE = f"""t0 AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM {SENTENCES}),
 t1 AS (SELECT * EXCLUDE (w), greatest(len(w), 1) AS n, len(list_filter(w, lambda x: list_contains({_list(lx.TONE_UP)}, x))) AS p, len(list_filter(w, lambda x: list_contains({_list(lx.NEGATIVE)}, x))) AS q FROM t0),
@@ -385,11 +390,8 @@ b AS (SELECT segment_id, round(avg(hedging_score), 2) AS avg_hedging, round(avg(
 SELECT segment_id, round(blend, 2) AS segment_risk_score, round(mean, 2) AS avg_hidden_risk, round(top_mean, 2) AS top_k_risk, b.* EXCLUDE (segment_id) FROM tr JOIN b USING (segment_id)""",
     "claims": f"WITH {_CLAIM} SELECT * REPLACE (substr(claim_text, 1, 800) AS claim_text) FROM c",
     "claim_values": f"""
-WITH {_CLAIM},
-n AS (SELECT claim_id, claim_text, {_case("claim_text", lx.METRICS, "claim_type")} AS metric, coalesce({_num(_ex(lx.RANGE_PERCENT, 1))}, {_num(_ex(lx.RANGE_PERCENT, 3))}) AS lo, coalesce({_num(_ex(lx.RANGE_PERCENT, 2))}, {_num(_ex(lx.RANGE_PERCENT, 4))}) AS hi,
-  {_num(_ex(lx.BASIS_POINTS, 1))} AS bp, {_num(_ex(lx.PERCENT, 1))} AS pc, {_num(_ex(lx.DOLLARS, 1))} AS usd, lower({_ex(lx.DOLLARS, 2)}) AS mag, {_case("claim_text", lx.PERIODS, "'unspecified_period'")} AS period, {_case("claim_text", lx.PLACES, "NULL")} AS geography FROM c)
-SELECT claim_id, metric, round(CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (lo + hi) / 2 WHEN bp IS NOT NULL THEN bp WHEN pc IS NOT NULL THEN pc ELSE usd * CASE WHEN mag IN ('billion', 'b') THEN 1e9 WHEN mag IN ('million', 'm') THEN 1e6 WHEN mag IN ('thousand', 'k') THEN 1e3 ELSE 1 END END, 4) AS value,
-  CASE WHEN hi IS NOT NULL THEN round(lo, 4) END AS lower_bound, CASE WHEN lo IS NOT NULL THEN round(hi, 4) END AS upper_bound,
+WITH {_CLAIM}, {_VALUED}
+SELECT claim_id, metric, round(value, 4) AS value, CASE WHEN hi IS NOT NULL THEN round(lo, 4) END AS lower_bound, CASE WHEN lo IS NOT NULL THEN round(hi, 4) END AS upper_bound,
   CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN 'percent' WHEN bp IS NOT NULL THEN 'bps' WHEN pc IS NOT NULL THEN 'percent' WHEN usd IS NOT NULL THEN CASE WHEN mag IN ('billion', 'b') THEN 'usd_billions' WHEN mag IN ('million', 'm') THEN 'usd_millions' ELSE 'usd' END END AS unit, period, geography FROM n""",
     "record_status": """
 WITH r AS (SELECT *, upper(trim(symbol)) AS s, CASE WHEN regexp_full_match(upper(trim(quarter)), 'Q?[1-4]') THEN 'Q' || right(trim(quarter), 1) END AS qn FROM sample_transcripts),
