@@ -1,8 +1,9 @@
 """Encoding of a whole corpus with a public byte-level BPE vocabulary by a global shuffle of distinct words.
 
-Texts are split into pre-tokens on the JVM and exploded with their positions. Each distinct pre-token of the corpus is
-encoded once. Ids are joined back: those of the heavy hitters, of which there can be at most 1 / HEAVY, by broadcast,
-all others, each under that share of the rows, by a shuffle on the word. Positions put the ids of a text in order.
+Texts are split into pre-tokens on the JVM and exploded, one row for each distinct word of a text with its positions.
+Each distinct word of the corpus is encoded once. Ids are joined back: those of the heavy hitters, of which there can be
+at most 1 / HEAVY, by broadcast, all others, each under that share of the rows, by a shuffle on the word. Positions put
+the ids of a text in order. Rows of a text share its key and 32 bits of its hash, which tell texts of one key apart.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,23 @@ def _encode_words(path: str):
     return run
 
 
+def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each text and distinct word of it, with its positions; whole arrays at a time."""
+    for b in batches:
+        lists = b.column(2)
+        words = lists.flatten().dictionary_encode()
+        lengths = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(lists)), lengths)
+        place = (np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        index = words.indices.to_numpy()
+        order = np.lexsort((place, index, row))
+        r, i = row[order], index[order]
+        first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (i[1:] != i[:-1])))) if len(r) else np.zeros(0, dtype=np.int64)
+        at = pa.ListArray.from_arrays(pa.array(np.append(first, len(r)).astype(np.int32)), pa.array(place[order]))
+        of = pa.array(r[first])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), words.dictionary.take(pa.array(i[first])), at], names=["k", "h", "w", "at"])
+
+
 def encode_corpus(docs: DataFrame, *, key: str, text: str, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """`key` and `ids` (array<int>), one row per distinct (key, text), without special tokens.
 
@@ -62,16 +81,18 @@ def encode_corpus(docs: DataFrame, *, key: str, text: str, folder: str | None =
     """
     path = _file(folder, vocabulary)
     pieces = F.regexp_extract_all(F.col(text), F.lit("(?U)" + PATTERN), F.lit(0))
-    rows = spread(docs.select(key, text)).select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.posexplode(pieces).alias("pos", "w"))
-    words = cut(rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).mapInArrow(_encode_words(path), "w string, n bigint, ids array<int>"))
+    kind = docs.schema[key].dataType.simpleString()
+    cut_up = spread(docs.select(key, text)).where(F.col(text) != "").select(F.col(key).alias("k"), F.hash(text).alias("h"), pieces.alias("w"))
+    rows = cut_up.mapInArrow(_by_word, f"k {kind}, h int, w string, at array<int>")
+    words = cut(rows.groupBy("w").agg(F.sum(F.size("at")).alias("n")).mapInArrow(_encode_words(path), "w string, n bigint, ids array<int>"))
     total = words.agg(F.sum("n")).first()[0] or 0
     heavy = F.col("n") > total * HEAVY  # at most 1 / HEAVY words
     hot, rest = words.where(heavy).select("w", "ids"), words.where(~heavy).select("w", "ids")
-    known = rows.join(F.broadcast(hot), "w").select("k", "h", "pos", "ids").unionByName(
-        rows.join(F.broadcast(hot.select("w")), "w", "left_anti").join(rest.hint("merge"), "w").select("k", "h", "pos", "ids")
+    known = rows.join(F.broadcast(hot), "w").select("k", "h", "at", "ids").unionByName(
+        rows.join(F.broadcast(hot.select("w")), "w", "left_anti").join(rest.hint("merge"), "w").select("k", "h", "at", "ids")
     )
     at = F.col("p")
-    placed = known.groupBy("k", "h").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("p"))
+    placed = known.groupBy("k", "h").agg(F.collect_list(F.struct("at", "ids")).alias("q")).select("k", F.array_sort(F.flatten(F.transform("q", lambda x: F.transform(x["at"], lambda i: F.struct(i.alias("pos"), x["ids"].alias("ids")))))).alias("p"))
     once = F.when(F.size(at) == F.element_at(at, -1)["pos"] + 1, at).otherwise(F.filter(at, lambda x, i: (i == 0) | (x["pos"] != at[F.greatest(i - 1, F.lit(0))]["pos"])))
     some = placed.select(F.col("k").alias(key), F.flatten(F.transform(once, lambda x: x["ids"])).alias("ids"))
     none = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.array().cast("array<int>").alias("ids")).distinct()
