@@ -302,8 +302,9 @@ def natural(line: str, cands: list[tuple[int, str]], ds: list[dict[str, str]], c
     """What the texts themselves tell of each candidate, None where they don't.
 
     `joints` are places where lines were joined: they are ends. Words in lower case don't begin a unit, nor does what
-    goes on behind a quotation. A word whose point was seen often, and never at the end of a line, doesn't end one, nor does an abbreviation before a
-    word that was seen often, and never at the beginning of a line;
+    goes on behind a quotation; a word mostly in lower case has a capital at a beginning. An abbreviation that often
+    ends lines, and that nothing in lower case follows, ends a unit. A word whose point was seen often, and never at the
+    end of a line, doesn't end one, nor does an abbreviation before a word that never begins a line;
     a stop other than a point, before a capital or in a script without them, does, outside quotations.
     """
     out: list[bool | None] = []
@@ -320,6 +321,8 @@ def natural(line: str, cands: list[tuple[int, str]], ds: list[dict[str, str]], c
             told = True
         elif kind == "." and d["prev"] in ("inner", "listed", "letter") and d["opens"] == "0" and d["case"] != "y" and counts.get(0, *following(line, end, 1)) >= 5 * NEVER:
             told = False
+        elif kind == "." and d["next"] == "upper" and d["goes"] == "0" and d["closes"] in ("c", "d") and d["prev"] in ("listed", "letter") and not d["inside"]:
+            told = True
         elif kind == "." and words and (n := counts.get(0, words[0])) >= NEVER and counts.get(4, words[0]) == 0 and counts.closes(words) == 0:
             after = following(line, end, 1)
             told = False if not after or counts.get(2, words[0], after[0]) < FIXED * n else None
