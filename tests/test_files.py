@@ -135,3 +135,15 @@ def test_late_events_are_dropped_and_windows_written_once(spark, tmp_path):
     assert got() == [(1, 2), (2, 1), (15, 1), (20, 1)]
     assert got() == [(1, 2), (2, 1), (15, 1), (20, 1)]
     assert (30, 1) in got(close=True)
+
+
+def test_stages_resume_by_the_done_log(spark, tmp_path):
+    from parley import run
+
+    tables, out = "/root/testdata/sf0.001", str(tmp_path / "out")
+    assert run.run(spark, ["claims"], tables, out) == ["claims", "claim_values"]
+    assert run.run(spark, ["claims"], tables, out, resume=True) == []
+    # A result without an entry of its own ticker is written again.
+    ticker = spark.read.parquet(f"{out}/claims").first().transcript_id.split("_")[0]
+    assert run.run(spark, ["claims"], tables, out, ticker=ticker, resume=True) == ["claims", "claim_values"]
+    assert {r.transcript_id.split("_")[0] for r in spark.read.parquet(f"{out}/claims").collect()} == {ticker}

@@ -126,3 +126,37 @@ def test_every_annotator_counts(spark, tmp_path):
     g = eq.score_groups(spark, d).first()
     assert g.n_high + g.n_low == len(labels) and eq.macro_f1_interval(spark, d).first().n == len(labels)
     assert eq.score_descriptives(spark, d).first().n == len(score)
+
+
+def test_correlation_with_p_and_interval(spark):
+    rng = random.Random(1)
+    rows = [(x, 0.8 * x + rng.gauss(0, 0.5)) for x in (rng.gauss(0, 1) for _ in range(300))]
+    df = spark.createDataFrame([*rows, (None, 1.0)], "x double, y double")
+    r = sx.correlation(df, "x", "y").first()
+    assert r.n == 300 and 0.7 < r.low < r.r < r.high < 0.95 and 0 <= r.p < 1e-6
+    ranks = sx.correlation(df, "x", "y", ranks=True).first()
+    assert ranks.n == 300 and abs(ranks.r - r.r) < 0.1 and ranks.low < ranks.r < ranks.high
+    few = sx.correlation(df.limit(3), "x", "y").first()
+    assert few.r is None and few.p is None and few.low is None
+    # Published value: r = 0.5 of 20 pairs has p = 0.0248.
+    assert abs(sx.correlation_p(0.5, 20) - 0.0248) < 1e-4 and sx.correlation_p(1.0, 20) == 0.0
+
+
+def test_outcome_groups(spark):
+    df = spark.createDataFrame([(float(i), float(i % 7) + (3.0 if i >= 20 else 0.0)) for i in range(40)], "b double, v double")
+    r = sx.outcome_compare(df, by="b", value="v").first()
+    assert (r.n_high, r.n_low) == (20, 20) and r.mean_high > r.mean_low and r.p < 0.01 and r.note is None
+    r = sx.outcome_compare(df.limit(4), by="b", value="v").first()
+    assert r.note == "too few values" and r.p is None
+
+
+def test_ranks_do_not_depend_on_the_number_of_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 50),) for i in range(500)], "v double")
+    one = {r.v: r.k for r in sx.average_ranks(df, "v", "k").collect()}
+    monkeypatch.setattr(sx, "RANGE_VALUES", 7)
+    assert {r.v: r.k for r in sx.average_ranks(df, "v", "k").collect()} == one
+
+
+def test_noise_and_shares_of_uniform(spark):
+    u = [r.u for r in spark.range(4000).select(sx.uniform(F.col("id").cast("string")).alias("u")).collect()]
+    assert min(u) >= 0 and max(u) < 1 and abs(sum(u) / len(u) - 0.5) < 0.02

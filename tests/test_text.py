@@ -193,3 +193,32 @@ def test_shifts_follow_the_tone_not_the_length(spark, tmp_path):
     assert tq.tone_sections(spark, d).first().prepared_mean == 0 and tq.tone_sections(spark, d).first().section_shift > 0
     risk = {r.sentence_id: r.risk for r in tq.risk_of_sentences(spark, d).collect()}
     assert risk["s4"] - risk["s3"] > 20
+
+
+def test_reasons_of_verdicts(spark):
+    from parley.operators.claims import evidence_signs, verify
+
+    claims = spark.createDataFrame([("c1", "Revenue growth of 10%", 10.0, "increase"), ("c2", "Sales", None, None)], "claim_id string, claim_text string, value double, direction string")
+    links = spark.createDataFrame([("c1", f"e{i}", "sec", 1.0, t) for i, t in enumerate(["grew 9.8%", "grew 10.1%", "fell 99", "grew 10", "no figure"])], "claim_id string, evidence_id string, source_type string, authority_score double, said string")
+    got = {r.claim_id: r for r in verify(claims, evidence_signs(links, text="said").drop("said"), reasons=True).collect()}
+    assert got["c1"].reason.endswith("e0: numbers agree | e1: numbers agree | e2: numbers disagree") and "5 items" in got["c1"].reason
+    assert got["c2"].status == "NOT_VERIFIABLE" and got["c2"].reason == "No evidence of after the call."
+
+
+def test_segment_risk_and_first_density(spark):
+    from parley.operators.risk import first_density, segment_risk
+
+    s = spark.createDataFrame([("s", f"x{i}", i, "t" * 300, float(r), 1.0, 2.0, 0.0, 0.1, d) for i, (r, d) in enumerate([(10, 0.5), (40, 0.1), (40, 0.2)])],
+                              "segment_id string, sentence_id string, sentence_number int, text string, risk double, hedging_score double, shift_score double, evasive double, negative double, hedge_density double")
+    r = segment_risk(s).first()
+    assert (r.segment_risk_score, r.avg_hidden_risk, r.top_k_risk, r.sentence_count, r.top_risk_sentence_id) == (34.0, 30.0, 40.0, 3, "x1") and len(r.top_risk_sentence_text) == 200
+    assert first_density(s).first().first_density == 0.5
+
+
+def test_leaks_of_planted_evidence(spark):
+    from parley.operators.claims import leaks
+
+    head = "The board has approved a plan to build a plant in the north."
+    calls = spark.createDataFrame([("t1", f"As we read: {head} See https://a.example/x now."), ("t2", "nothing of it"), ("t3", None)], "transcript_id string, text string")
+    evidence = spark.createDataFrame([("e1", "https://a.example/x", None), ("e2", "", head + " And more."), ("e3", None, "short"), ("e4", "https://a.example/other", "Another text that no call holds, long enough to be cut.")], "evidence_id string, url string, text string")
+    assert {tuple(r) for r in leaks(calls, evidence).collect()} == {("t1", "e1", "url"), ("t1", "e2", "text")}
