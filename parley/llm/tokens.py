@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,21 +57,64 @@ def _encode_words(path: str):
     return run
 
 
+#: Tokens that are put in order at once; a batch is taken in slices of about so many.
+SLICE = 1_000_000
+
+
+def _slices(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about SLICE tokens each, one row at least; `ends` are the numbers of tokens up to each row."""
+    at, n = 0, len(ends)
+    while at < n:
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + SLICE, side="right")))
+        yield at, to
+        at = to
+
+
 def _by_word(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each text and distinct word of it, with its positions; whole arrays at a time."""
-    for b in batches:
-        lists = b.column(2)
-        words = lists.flatten().dictionary_encode()
-        lengths = np.diff(lists.offsets.to_numpy())
-        row = np.repeat(np.arange(len(lists)), lengths)
-        place = (np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
-        index = words.indices.to_numpy()
-        order = np.lexsort((place, index, row))
-        r, i = row[order], index[order]
-        first = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (i[1:] != i[:-1])))) if len(r) else np.zeros(0, dtype=np.int64)
-        at = pa.ListArray.from_arrays(pa.array(np.append(first, len(r)).astype(np.int32)), pa.array(place[order]))
-        of = pa.array(r[first])
-        yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), words.dictionary.take(pa.array(i[first])), at], names=["k", "h", "w", "at"])
+    for whole in batches:
+        for start, end in _slices(np.cumsum(np.diff(whole.column(2).offsets.to_numpy()))):
+            b = whole.slice(start, end - start)
+            lists = b.column(2)
+            words = lists.flatten().dictionary_encode()
+            lengths = np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(lists)), lengths)
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+            # A word's number within its text: positions stay in order under a stable sort.
+            code = row * max(1, len(words.dictionary)) + words.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            c = code[order]
+            first = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, dtype=np.int64)
+            at = pa.ListArray.from_arrays(pa.array(np.append(first, len(c)).astype(np.int32)), pa.array(place[order]))
+            of = pa.array(row[order][first])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), words.dictionary.take(words.indices.take(pa.array(order[first]))), at], names=["k", "h", "w", "at"])
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ids of each text by the positions of its words; a position that comes twice, of a repeated row, counts once."""
+    for whole in batches:
+        sizes = whole.column(1)
+        of_words = np.append(0, np.cumsum(np.diff(pa.compute.struct_field(sizes.flatten(), "at").offsets.to_numpy())))
+        bounds = sizes.offsets.to_numpy()
+        for start, end in _slices(of_words[bounds[1:] - bounds[0]]):
+            b = whole.slice(start, end - start)
+            lists = b.column(1)
+            inner = lists.flatten()
+            at, ids = (pa.compute.struct_field(inner, n) for n in ("at", "ids"))
+            word_row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            word = np.repeat(np.arange(len(word_row)), np.diff(at.offsets.to_numpy()))
+            place, row = at.flatten().to_numpy().astype(np.int64), word_row[word]
+            code = row * (int(place.max()) + 1 if len(place) else 1) + place
+            order = np.argsort(code, kind="stable")
+            c = code[order]
+            once = order[np.concatenate(([True], c[1:] != c[:-1]))] if len(c) else order
+            offsets = ids.offsets.to_numpy().astype(np.int64)
+            starts, lengths = (offsets[:-1] - offsets[0])[word[once]], np.diff(offsets)[word[once]]
+            total = int(lengths.sum())
+            take = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)
+            ends = np.append(0, np.cumsum(np.bincount(row[once], weights=lengths, minlength=len(lists)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.flatten().to_numpy()[take], pa.int32()))], names=["k", "ids"])
 
 
 def encode_corpus(docs: DataFrame, *, key: str, text: str, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -91,10 +135,7 @@ def encode_corpus(docs: DataFrame, *, key: str, text: str, folder: str | None =
     known = rows.join(F.broadcast(hot), "w").select("k", "h", "at", "ids").unionByName(
         rows.join(F.broadcast(hot.select("w")), "w", "left_anti").join(rest.hint("merge"), "w").select("k", "h", "at", "ids")
     )
-    at = F.col("p")
-    placed = known.groupBy("k", "h").agg(F.collect_list(F.struct("at", "ids")).alias("q")).select("k", F.array_sort(F.flatten(F.transform("q", lambda x: F.transform(x["at"], lambda i: F.struct(i.alias("pos"), x["ids"].alias("ids")))))).alias("p"))
-    once = F.when(F.size(at) == F.element_at(at, -1)["pos"] + 1, at).otherwise(F.filter(at, lambda x, i: (i == 0) | (x["pos"] != at[F.greatest(i - 1, F.lit(0))]["pos"])))
-    some = placed.select(F.col("k").alias(key), F.flatten(F.transform(once, lambda x: x["ids"])).alias("ids"))
+    some = known.groupBy("k", "h").agg(F.collect_list(F.struct("at", "ids")).alias("q")).select("k", "q").mapInArrow(_in_order, f"k {kind}, ids array<int>").select(F.col("k").alias(key), "ids")
     none = docs.where(F.col(text).isNull() | (F.col(text) == "")).select(key, F.array().cast("array<int>").alias("ids")).distinct()
     return some.unionByName(none)
 

@@ -99,3 +99,18 @@ def test_the_number_of_combinations_doesnt_follow_the_number_of_items():
     few = len(pk.combinations(dict(counts), 512))
     many = len(pk.combinations({k: v * 1000 for k, v in counts.items()}, 512))
     assert many <= sum(512 // k for k in counts) and few <= sum(counts.values())
+
+
+def test_slices_change_nothing(spark, monkeypatch):
+    from parley.llm import tokens as tk
+
+    docs = spark.createDataFrame([(i % 7, f"word {i % 5} again and again, word {i % 3}!" * (i % 4)) for i in range(60)], "id int, text string")
+    want = {(r.id, tuple(r.ids)) for r in tk.encode_corpus(docs, key="id", text="text").collect()}
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 0, 0], pa.int32()), pa.array([["a", "b", "a"], [], ["b"]])], names=["k", "h", "w"])
+    rows = [r for b in tk._by_word(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(tk, "SLICE", 1)
+    assert [r for b in tk._by_word(iter([batch])) for r in b.to_pylist()] == rows == [{"k": 1, "h": 0, "w": "a", "at": [0, 2]}, {"k": 1, "h": 0, "w": "b", "at": [1]}, {"k": 3, "h": 0, "w": "b", "at": [0]}]
+    enc = tk.encoding("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    assert want == {(r.id, tuple(enc.encode_ordinary(r.text))) for r in docs.collect()}
