@@ -207,7 +207,7 @@ def score_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = group_compare(_labelled(spark, sf_dir).withColumn("g", F.col("label") == 2), group="g", value="evasive")
-    return m.select(*[_r(c) for c in m.columns])
+    return m.select(*[_r(c, 8) for c in m.columns])
 
 
 def paired_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,8 +377,8 @@ SELECT round(n_high::DOUBLE, 6) AS n_high, round(mean_high, 6) AS mean_high, rou
 WITH {_M}, b AS (SELECT label = 2 AS g, evasive AS v FROM one WHERE evasive IS NOT NULL), r AS (SELECT g, v, {_AVG_RANK.format(x='v')} AS r FROM b),
 s AS (SELECT count(*) FILTER (g) AS n_high, avg(v) FILTER (g) AS mean_high, median(v) FILTER (g) AS median_high, stddev_pop(v) FILTER (g) AS std_high, count(*) FILTER (NOT g) AS n_low, avg(v) FILTER (NOT g) AS mean_low, median(v) FILTER (NOT g) AS median_low,
   stddev_pop(v) FILTER (NOT g) AS std_low, count(*) AS n, sum(r) FILTER (g) - count(*) FILTER (g) * (count(*) FILTER (g) + 1) / 2.0::DOUBLE AS u FROM r), t AS (SELECT sum(c ^ 3 - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY v))
-SELECT round(n_high::DOUBLE, 6) AS n_high, round(mean_high, 6) AS mean_high, round(median_high, 6) AS median_high, round(std_high, 6) AS std_high, round(n_low::DOUBLE, 6) AS n_low, round(mean_low, 6) AS mean_low, round(median_low, 6) AS median_low, round(std_low, 6) AS std_low,
-  round(u, 6) AS u, round((u - n_high * n_low / 2.0::DOUBLE) / sqrt(n_high * n_low / 12.0::DOUBLE * (n + 1 - t / (n * (n - 1)))), 6) AS z FROM s, t""",
+SELECT round(n_high::DOUBLE, 8) AS n_high, round(mean_high, 8) AS mean_high, round(median_high, 8) AS median_high, round(std_high, 8) AS std_high, round(n_low::DOUBLE, 8) AS n_low, round(mean_low, 8) AS mean_low, round(median_low, 8) AS median_low, round(std_low, 8) AS std_low,
+  round(u, 8) AS u, round((u - n_high * n_low / 2.0::DOUBLE) / sqrt(n_high * n_low / 12.0::DOUBLE * (n + 1 - t / (n * (n - 1)))), 8) AS z FROM s, t""",
     "paired_ranks": f"""
 WITH {_M}, d AS (SELECT evasive - hedging AS d, abs(evasive - hedging) AS a FROM m WHERE evasive - hedging <> 0), r AS (SELECT d, {_AVG_RANK.format(x='a')} AS r FROM d),
 s AS (SELECT count(*) AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w FROM r)
