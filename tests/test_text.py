@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
@@ -222,3 +223,50 @@ def test_leaks_of_planted_evidence(spark):
     calls = spark.createDataFrame([("t1", f"As we read: {head} See https://a.example/x now."), ("t2", "nothing of it"), ("t3", None)], "transcript_id string, text string")
     evidence = spark.createDataFrame([("e1", "https://a.example/x", None), ("e2", "", head + " And more."), ("e3", None, "short"), ("e4", "https://a.example/other", "Another text that no call holds, long enough to be cut.")], "evidence_id string, url string, text string")
     assert {tuple(r) for r in leaks(calls, evidence).collect()} == {("t1", "e1", "url"), ("t1", "e2", "text")}
+
+
+def test_claims_rated_over_windows_are_those_of_pairs(spark, monkeypatch):
+    import datetime as dt
+    import random
+
+    from parley.operators import evidence_windows as ew
+    from parley.operators.claims import concluded, evidence_signs, verify, within_days
+
+    draw = random.Random(7)
+    words = "revenue margin demand grew fell costs outlook record decline strong weak plant order".split()
+    say = lambda: " ".join([*draw.choices(words, k=draw.randint(0, 6)), *[f"{draw.randint(8, 14)}.5%" for _ in range(draw.randint(0, 2))]])
+    day = lambda: dt.date(1969, 6, 1) + dt.timedelta(draw.randint(0, 900))
+    claims = spark.createDataFrame(
+        [(f"c{i}", draw.choice(["A", "A", "B", None]), draw.choice([day(), day(), day(), None]), say(), draw.choice([None, 0.0, 10.5, 12.5]), draw.choice([None, "increase", "grow", "decrease", "flat", "reached"])) for i in range(160)],
+        "claim_id string, ticker string, call_day date, claim_text string, value double, direction string",
+    )
+    evidence = spark.createDataFrame(
+        [(f"e{i}", draw.choice(["A", "A", "B", "C"]), day(), draw.choice([365, 365, 180]), draw.choice(["sec", "sec", "news", "news", None]), draw.choice([None, 0.3, 0.5, 0.8]), say()) for i in range(400)],
+        "evidence_id string, ticker string, published date, lasts int, source_type string, authority_score double, said string",
+    ).where("lasts = 365 OR source_type = 'news'")
+    links = within_days(claims, evidence, entity="ticker", left_day="call_day", right_day="published", before=-1, after=365).where("datediff(published, call_day) <= lasts")
+    linked = evidence_signs(links, text="said").select("claim_id", "evidence_id", "source_type", "authority_score", "numbers", "pos", "neg", "terms")
+    want = {r.claim_id: r for r in verify(claims, linked, reasons=True).collect()}
+    # Small limits: several shards, groups in pieces, few pairs at once.
+    for limits in ({}, {"HELD": 50, "ROWS": 30, "CHUNK": 100}):
+        for k, v in limits.items():
+            monkeypatch.setattr(ew, k, v)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20 if limits else 10000)
+        rows = concluded(ew.rated(claims, evidence, reasons=True)).collect()
+        assert len(rows) == 160 and max(r.n_evidence for r in rows) > 50
+        for r in rows:
+            w = want[r.claim_id]
+            assert (r.n_evidence, r.status) == (w.n_evidence, w.status) and abs(r.support - w.support) + abs(r.contradiction - w.contradiction) < 1e-9
+            said = " | ".join(f"{p.evidence_id}: {p.said}" for p in r.parts)
+            assert w.reason.endswith(said) and (" | " in w.reason) == (len(r.parts) > 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+
+
+@pytest.mark.parametrize("name", ["verdicts"])
+def test_no_row_for_each_claim_and_item_of_evidence(spark, name):
+    import re
+
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, entry.SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not re.search(r"Join [^\n]*_bucket", plan)
