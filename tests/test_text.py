@@ -262,7 +262,7 @@ def test_claims_rated_over_windows_are_those_of_pairs(spark, monkeypatch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
 
 
-@pytest.mark.parametrize("name", ["verdicts", "verdict_shares", "verdicts_by_call", "verdict_reasons", "evidence_of_claims"])
+@pytest.mark.parametrize("name", ["verdicts", "verdict_shares", "verdicts_by_call", "verdict_reasons", "evidence_of_claims", "evidence_by_claim"])
 def test_no_row_for_each_claim_and_item_of_evidence(spark, name):
     import re
 
