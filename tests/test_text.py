@@ -270,3 +270,21 @@ def test_no_row_for_each_claim_and_item_of_evidence(spark, name):
 
     plan = entry.queries()[name](spark, entry.SMOKE)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and not re.search(r"Join [^\n]*_bucket", plan)
+
+
+def test_leaks_are_those_of_brute_force_and_no_piece_is_broadcast(spark):
+    import random
+
+    from parley.operators.claims import leaks
+
+    draw = random.Random(3)
+    say = lambda n: "".join(draw.choices("ab é😀", k=n))
+    texts = [say(n) for n in (0, 39, 40, 41, 90, 500)] + ["ab" * 60, None]
+    begun = [t[i : i + n] for t in texts[2:7] for i, n in ((0, 40), (1, 60), (17, 41), (30, 45), (len(t) - 40, 40)) if i >= 0] + [say(50), "ba" * 20, "ab" * 19, None]
+    calls = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(texts)], "transcript_id string, text string")
+    evidence = spark.createDataFrame([(f"e{i}", "", t) for i, t in enumerate(begun)], "evidence_id string, url string, text string")
+    got = leaks(calls, evidence)
+    want = {(f"t{i}", f"e{j}", "text") for i, t in enumerate(texts) for j, b in enumerate(begun) if t and b and len(b) >= 40 and b[:40] in t}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 15
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "sequence" not in plan
