@@ -6,12 +6,14 @@
    Every chain "encode with the encoding that was wrongly used, decode with the true one" that runs without error gives
    a candidate; chains are repeated on what they restore, for texts garbled twice or more.
 3. The likeliest candidate is accepted if its log-likelihood exceeds that of the unit as it stands by a margin. The
-   margin is validated on a bounded sample of clean records: it lies above what chains reach by chance on them.
+   margin is validated on all clean records: it lies above what chains reach by chance on most of them.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.sources.tables import spread
+from parley.sources.tables import cut, spread
 
 #: log2 of the buckets of the bigram table; 2**SIZE doubles are broadcast, 2 MB, whatever the corpus.
 SIZE = 18
@@ -33,8 +35,6 @@ STEP, POOLED = 2.0, 12.0
 DOUBLE = 12.0
 #: Times that a character must occur in the corpus to be known.
 KNOWN = 5
-#: Clean records at most on which the margin is validated.
-SAMPLE = 2000
 
 _MASK = (1 << SIZE) - 1
 _HIGH = re.compile(r"[^\x00-\x7f]+")
@@ -269,7 +269,11 @@ def restore(text: str, model: Model, margins: tuple[float, float]) -> str:
     A unit is restored by its likeliest chain if the gain exceeds the margin of the chain's family. Chains by which the
     whole text gains three margins count as its way of being garbled: units prefer them, and any gain by them will do.
     """
-    units = list(judged(text, model))
+    return decided(list(judged(text, model)), margins)
+
+
+def decided(units: list[tuple[str, list]], margins: tuple[float, float]) -> str:
+    """The text of units that are judged, restored where the margins say so."""
     pooled: dict[tuple[Chain, ...], float] = {}
     for _, found in units:
         for gain, chain in found:
@@ -335,27 +339,43 @@ def train(docs: DataFrame, text: str) -> Model:
     return Model(pair, char)
 
 
-def margins_of(docs: DataFrame, key: str, text: str, model: Model) -> tuple[float, float]:
-    """Validated margins: above what chance brings on most (1 - TAIL) of a sample of records without traces."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.pair, model.char))
+def _bits(x: float) -> int:
+    """A number from 0 on as a whole number in the same order."""
+    return int(np.float64(x).view(np.int64))
 
-    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*sent.value)
-        for b in batches:
-            out = [[], []]
-            for t in b.column(1).to_pylist():
-                if t and not traced(t, m.char):
-                    best = [0.0, 0.0]
-                    for _, found in judged(t, m):
-                        for g, c in found:
-                            best[family(c)] = max(best[family(c)], g)
-                    for k in range(2):
-                        out[k].append(best[k])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.float64()), pa.array(out[1], pa.float64())], names=["a", "b"])
-
-    some = docs.select(key, text).where(F.col(text).isNotNull()).orderBy(F.xxhash64(key), key).limit(SAMPLE)
-    a, b = some.mapInArrow(gains, "a double, b double").agg(F.percentile("a", 1 - TAIL), F.percentile("b", 1 - TAIL)).first()
-    return max(MARGINS[0], SLACK * (a or 0.0)), max(MARGINS[1], SLACK * (b or 0.0))
+
+def at_rank(rows: DataFrame, column: str, rank: int) -> float:
+    """The value at a rank (from 0 on) of all `rows` in the order of `column`, which holds `_bits`; exact.
+
+    It is narrowed down by counts of 16 bits at a time, of which at most 65,536 reach the driver.
+    """
+    known = 0
+    for shift in (48, 32, 16, 0):
+        part = rows if shift == 48 else rows.where(F.shiftright(column, shift + 16) == known)
+        for r in sorted(part.groupBy(F.shiftright(column, shift).alias("p")).count().toLocalIterator(), key=lambda r: r["p"]):
+            if rank < r["count"]:
+                known = r["p"]
+                break
+            rank -= r["count"]
+    return float(np.int64(known).view(np.float64))
+
+
+def margins_of(judgements: DataFrame) -> tuple[float, float]:
+    """Validated margins: above what chance brings on most (1 - TAIL) of all records without traces.
+
+    `judgements` has clean, the number of such records that a row stands for, and the `_bits` of their gains a and b.
+    """
+    out = []
+    some = judgements.where("clean > 0")
+    n, *above = some.agg(F.coalesce(F.sum("clean"), F.lit(0)), *[F.coalesce(F.sum(F.when(F.col(c) > 0, F.col("clean"))), F.lit(0)) for c in "ab"]).first()
+    for c, more, least in zip("ab", above, MARGINS):
+        place = (n - 1) * (1 - TAIL)
+        # Ranks among the gains above nought; all others come before.
+        low, high = (int(x) - (n - more) for x in (np.floor(place), np.ceil(place)))
+        gains = some.where(F.col(c) > 0).select(c)
+        x, y = (at_rank(gains, c, k) if k >= 0 and n else 0.0 for k in (low, high))
+        out.append(max(least, SLACK * (x + (y - x) * (place - np.floor(place)))))
+    return out[0], out[1]
 
 
 def restore_encoding(docs: DataFrame, *, key: str, text: str) -> DataFrame:
@@ -363,26 +383,53 @@ def restore_encoding(docs: DataFrame, *, key: str, text: str) -> DataFrame:
 
     `restored` is the whole text restored and orig_chars its length in characters. Where bytes are lost (U+FFFD) the
     text is restored as far as may be, and orig_chars is 0. Null, empty and clean texts have no row, repeated rows come
-    out repeated. The model is trained on all rows of `docs`.
+    out repeated. The model is trained and its margins are validated on all rows of `docs`. Each text is judged once;
+    those with a chain that gains wait in a checkpoint till the margins are known.
     """
     docs = spread(docs.select(key, text))
     model = train(docs, text)
-    margins = margins_of(docs, key, text, model)
     sent = docs.sparkSession.sparkContext.broadcast((model.pair, model.char))
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*sent.value)
         for b in batches:
-            rows, made, chars = [], [], []
+            # The first row stands for the clean records that no chain gains on.
+            rows, held, texts, clean, gains = [None], [None], [None], [0], [(0, 0)]
             for i, t in enumerate(b.column(1).to_pylist()):
-                if not t or not _NOT_ASCII.search(t):
+                if not t:
                     continue
-                r, lost = restore(t, m, margins), "\ufffd" in t
+                units = list(judged(t, m)) if _NOT_ASCII.search(t) else []
+                lost, whole = "\ufffd" in t, not _CONTROL.search(t) and not (units and traced(t, m.char))
+                if not lost and not any(found for _, found in units):
+                    clean[0] += whole
+                    continue
+                best = [0.0, 0.0]
+                for _, found in units:
+                    for g, c in found:
+                        best[family(c)] = max(best[family(c)], g)
+                rows.append(i)
+                held.append(zlib.compress(pickle.dumps([found for _, found in units]), 1))
+                texts.append(t)
+                clean.append(int(whole))
+                gains.append((_bits(best[0]), _bits(best[1])))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(rows, pa.int64())), pa.array(texts, pa.string()), pa.array(held, pa.binary()), pa.array(clean, pa.int64()), pa.array([x for x, _ in gains], pa.int64()), pa.array([x for _, x in gains], pa.int64())],
+                names=[key, "text", "held", "clean", "a", "b"],
+            )
+
+    judgements = cut(docs.select(key, text).mapInArrow(judge, f"`{key}` {kind}, text string, held binary, clean bigint, a bigint, b bigint"))
+    margins = margins_of(judgements)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, made, chars = [], [], []
+            for i, (t, found) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                r, lost = decided(list(zip(stretches(t), pickle.loads(zlib.decompress(found)))), margins), "\ufffd" in t
                 if lost or r != t:
                     rows.append(i)
                     made.append(r)
                     chars.append(0 if lost else len(r))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(made, pa.string()), pa.array(chars, pa.int32())], names=[key, "restored", "orig_chars"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, restored string, orig_chars int")
+    return judgements.where("held IS NOT NULL").select(key, "text", "held").mapInArrow(run, f"`{key}` {kind}, restored string, orig_chars int")

@@ -186,3 +186,21 @@ def test_garbled_texts_are_restored_and_clean_ones_left(spark):
 
 def test_garbled_of_an_empty_table(spark):
     assert gb.restore_encoding(spark.createDataFrame([], "id bigint, text string"), key="id", text="text").collect() == []
+
+
+def test_margins_are_validated_on_all_clean_records(spark):
+    import random
+
+    import numpy as np
+
+    from parley.llm import garbled
+
+    assert not hasattr(garbled, "SAMPLE")
+    draw = random.Random(5)
+    for zeros in (0, 100, 3000, 9000):
+        gains = [(draw.choice([0.0, draw.expovariate(0.05)]), draw.expovariate(0.1)) for _ in range(5000)]
+        rows = [(1, *map(garbled._bits, x)) for x in gains] + [(0, garbled._bits(1e6), garbled._bits(1e6)), (zeros, 0, 0)]
+        got = garbled.margins_of(spark.createDataFrame(rows, "clean bigint, a bigint, b bigint").repartition(5))
+        want = [max(m, garbled.SLACK * np.percentile([*[g[k] for g in gains], *[0.0] * zeros], 100 * (1 - garbled.TAIL))) for k, m in enumerate(garbled.MARGINS)]
+        assert np.allclose(got, want)
+    assert garbled.margins_of(spark.createDataFrame([], "clean bigint, a bigint, b bigint")) == garbled.MARGINS
