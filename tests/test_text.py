@@ -262,6 +262,63 @@ def test_claims_rated_over_windows_are_those_of_pairs(spark, monkeypatch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
 
 
+def _claims_and_evidence(spark, times):
+    """Eight claims and 60 items of evidence of one ticker, each so many times."""
+    import datetime as dt
+
+    call = dt.date(2015, 3, 1)
+    texts = ["Revenue grew 12%", "Margin fell 10.5%", "Demand is strong", "Costs and plant order", "Revenue grew in the north"]
+    claims = [(f"c{i}_{n}", "A", call + dt.timedelta(i % 3), texts[i % 5], [10.0, 12.5, None][i % 3], ["increase", None][i % 2]) for i in range(8) for n in range(times)]
+    evidence = [(f"e{i}_{n}", "A", call + dt.timedelta(4 + 2 * i), *[(365, "sec"), (180, "news")][i % 2], [0.3, 0.5, 0.8][i % 3], texts[i * 3 % 5]) for i in range(60) for n in range(times)]
+    return (
+        spark.createDataFrame(claims, "claim_id string, ticker string, call_day date, claim_text string, value double, direction string"),
+        spark.createDataFrame(evidence, "evidence_id string, ticker string, published date, lasts int, source_type string, authority_score double, said string"),
+    )
+
+
+def test_claims_that_ask_the_same_are_compared_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    from parley.operators import evidence_windows as ew
+
+    worked = []
+    spans, kept = ew._spans, {}
+    monkeypatch.setattr(ew, "_spans", lambda starts, counts: (worked.append(int(counts.sum())), spans(starts, counts))[1])
+    for times in (1, 20):
+        claims, evidence = _claims_and_evidence(spark, times)
+        made = []
+        monkeypatch.setattr(type(claims), "mapInArrow", lambda self, f, schema: (made.append(self.toArrow()), self.limit(0).selectExpr(*[f"CAST(NULL AS {t.split(' ', 1)[1]}) AS {t.split(' ', 1)[0]}" for t in schema.split(", ")]))[1])
+        ew.rated(claims, evidence)
+        t, worked[:] = made[0], []
+        sums = pa.concat_tables([ew._rate(t.filter(pa.compute.equal(t["at"], at)), False, ew.CHUNK) for at in t["at"].unique()])
+        kept[times] = (sum(worked), {r["claim_id"]: r["n"] for r in sums.group_by("claim_id").aggregate([("n", "sum")]).rename_columns(["claim_id", "n"]).to_pylist()})
+    # Twenty times the evidence is twenty times the work; twenty times the claims adds none.
+    assert kept[20][0] <= 20 * kept[1][0] and kept[1][0] > 100
+    assert len(kept[20][1]) == 160 and all(n == 20 * kept[1][1][c.split("_")[0] + "_0"] for c, n in kept[20][1].items())
+
+
+def test_rates_do_not_depend_on_the_number_or_order_of_items(spark):
+    from parley.operators import evidence_windows as ew
+
+    claims, evidence = _claims_and_evidence(spark, 1)
+    one = {r.claim_id.split("_")[0]: r for r in ew.rated(claims, evidence).collect()}
+    for times in (3, 7):
+        claims, evidence = _claims_and_evidence(spark, times)
+        for shards in (1, 5):
+            for r in ew.rated(claims.orderBy(F.xxhash64("claim_id")), evidence.repartition(shards, "evidence_id")).collect():
+                w = one[r.claim_id.split("_")[0]]
+                assert (r.n_evidence, r.support, r.contradiction) == (times * w.n_evidence, w.support, w.contradiction)
+
+
+def test_sentences_without_a_claim_are_left_out_before_the_join(spark):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["verdict_shares"](spark, entry.SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    read = next(i for i, line in enumerate(lines) if "Relation [sentence_id" in line)
+    assert "Filter" in lines[read - 1] and "margin expansion" in lines[read - 1]
+
+
 @pytest.mark.parametrize("name", ["verdicts", "verdict_shares", "verdicts_by_call", "verdict_reasons", "evidence_of_claims", "evidence_by_claim"])
 def test_no_row_for_each_claim_and_item_of_evidence(spark, name):
     import re
